@@ -35,7 +35,7 @@ _DATE = (
 )
 _TIME = r"(?:(?P<h1>99?):(?P<n1>99)(?::(?P<s1>99)(?:[.,](?P<f1>9+))?)?|(?P<h2>99)(?P<n2>99)(?:(?P<s2>99)(?:[.,](?P<f2>9+))?)?)"
 _ZONE = r"(?: ?(?P<half>aa)(?![a_/]))?(?: ?(?P<z>a)| ?(?P<sign>[-+])(?P<oh>99):?(?P<om>99)?| \(?(?P<name>[a_]+(?:/[a_]+)+)\)?| \(?(?P<abbr>aaa+)\)?)?"
-_SHAPE = re.compile(f"{_DATE}(?:,? +|a|(?<=日)){_TIME}{_ZONE}")
+_SHAPE = re.compile(f"{_DATE}(?:,? +|a|(?<=日)|(?<=99999999)){_TIME}{_ZONE}")
 # A count since 1970 has 10 digits in seconds, 13 in milliseconds, 16 in microseconds.
 _EPOCHS = {"9" * 10: 1_000_000, "9" * 13: 1_000, "9" * 16: 1}
 
