@@ -551,7 +551,7 @@ def _dd_runs(nav: DataFrame, keys: list[str]) -> DataFrame:
     under = nav.withColumn("under", F.col("dd1") < -1e-12)
     fresh = under.withColumn("fresh", F.col("under") & ~F.coalesce(F.lag("under").over(Window.partitionBy(*keys).orderBy("dt")), F.lit(False)))
     runs = fresh.withColumn("island", F.sum(F.col("fresh").cast("long")).over(flow)).where("under").groupBy(*keys, "island")
-    return runs.agg(F.min("dd1").alias("depth"), F.min("rn").alias("from_rn"), F.max("rn").alias("to_rn"), F.min_by("rn", "dd1").alias("trough_rn"), F.min("dt").alias("from_dt"), F.max("dt").alias("to_dt"), F.min_by("dt", "dd1").alias("trough_dt"))
+    return runs.agg(F.min("dd1").alias("depth"), F.min("rn").alias("from_rn"), F.max("rn").alias("to_rn"), F.min_by("rn", F.struct(F.round("dd1", 12), "rn")).alias("trough_rn"), F.min("dt").alias("from_dt"), F.max("dt").alias("to_dt"), F.min_by("dt", F.struct(F.round("dd1", 12), "rn")).alias("trough_dt"))
 
 
 def with_nav(df: DataFrame, keys: list[str], shard: Column | None = None) -> DataFrame:
