@@ -141,8 +141,8 @@ def repeated_content(
     """doc_id, words, repeated_words, repeated (share), the other statistics, anomaly (forest score), suspect, repetitive.
 
     ``suspect`` documents score at least the calibrated anomaly; ``repetitive`` ones are suspects whose repeated share
-    exceeds ``limit``. The forest is grown and its score calibrated on ``labelled_rows`` documents (those with the
-    smallest hash of doc_id): the calibrated score is the lowest that any of them with more than half of ``limit`` has,
+    exceeds ``limit``. The forest is grown and its score calibrated on about ``labelled_rows`` documents (those whose
+    hash of doc_id lies below the share of the corpus that they make up): the calibrated score is the lowest that any of them with more than half of ``limit`` has,
     so that a document at the limit lies well inside. Without such rows every document is a suspect.
 
     A null text counts as empty and has share 0; very long texts are handled whole; rows with null doc_id are left
@@ -158,8 +158,10 @@ def repeated_content(
             yield out
 
     stats = materialize(wide.mapInPandas(measure, schema), "repetition")
-    # a bounded sample of labelled rows, spread evenly by hash
-    labelled = stats.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled_rows).toPandas()
+    # a bounded sample of labelled rows, spread evenly by hash: each task sends only its own share of it
+    rows = stats.count()
+    share = labelled_rows / max(rows, labelled_rows)
+    labelled = stats.where(F.xxhash64("doc_id") < F.lit(min(int(share * 2.0**64) - (1 << 63), (1 << 63) - 1))).toPandas().sort_values("doc_id")
     x = labelled[list(FEATURES)].to_numpy()
     cutoff, forest = -1.0, None
     if len(x) > 1:
