@@ -48,6 +48,7 @@ def trades(spark: SparkSession, sf: str) -> DataFrame:
         amount.alias("amount"),
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
         (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("seq"),
+        F.col("l_partkey").alias("part"),
     )
 
 
