@@ -98,7 +98,7 @@ QUERIES: dict[str, Query] = {
     "days_to_liquidate": lambda s, d: _rounded(B.days_to_liquidate(positions(s, d), market(s, d))),
     "max_days_to_liquidate": lambda s, d: _rounded(B.max_days_to_liquidate(positions(s, d), market(s, d))),
     "low_liquidity_transactions": lambda s, d: _rounded(B.low_liquidity_transactions(_brand_trades(s, d), market(s, d)).select("symbol", "max_pct_bar_consumed"), 5),
-    "slippage_penalty": lambda s, d: _rounded(B.slippage_penalty(_monthly(s, d), B.daily_bars(_brand_trades(s, d), market(s, d)), 1e8, 1e6)),
+    "slippage_penalty": lambda s, d: _rounded(B.slippage_penalty(_monthly(s, d), B.daily_bars(_brand_trades(s, d), market(s, d)), 1e8, 1e6), 4),
     "detect_intraday": lambda s, d: _rounded(B.detect_intraday(positions(s, d), trades(s, d))),
     "txn_time_hist": lambda s, d: _rounded(B.transaction_hours(_event_trades(s, d), 60)),
     "estimate_intraday": lambda s, d: _rounded(B.estimate_intraday(_event_positions(s, d), _event_trades(s, d)), 4),
@@ -190,7 +190,7 @@ SQL: dict[str, str] = {
     "max_days_to_liquidate": f"WITH {_DTL} SELECT symbol, {_TS}, round(days {N}, 7) AS days_to_liquidate, round(alloc * 100 {N}, 7) AS pos_alloc_pct FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY days DESC, dt) AS k FROM DL WHERE days IS NOT NULL) x WHERE k = 1",
     "low_liquidity_transactions": f"WITH {_BARS_SQL} SELECT symbol, round(max(amount * 100 / volume) {N}, 5) AS max_pct_bar_consumed FROM BARS GROUP BY symbol",
     "slippage_penalty": f"""WITH {_BARS_SQL}, {_MONTH_SQL}, PEN AS (SELECT dt, sum(pow(100 * amount / volume, 2) * 0.1 * price * 100 * amount) AS pen FROM BARS GROUP BY dt), NV AS (SELECT dt, ret, product(1 + ret) OVER (ORDER BY dt ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) * 1e8 AS nav FROM RM)
-      SELECT 0 AS sid, CAST(NV.dt AS VARCHAR) AS dt, round(ret - coalesce(pen, 0) / nav {N}, 7) AS ret FROM NV LEFT JOIN PEN ON PEN.dt = NV.dt""",
+      SELECT 0 AS sid, CAST(NV.dt AS VARCHAR) AS dt, round(ret - coalesce(pen, 0) / nav {N}, 4) AS ret FROM NV LEFT JOIN PEN ON PEN.dt = NV.dt""",
     "detect_intraday": f"WITH {T_SQL}, {P_SQL}, H AS (SELECT count(*) AS h FROM P WHERE symbol <> 'cash' AND value <> 0), X AS (SELECT count(*) AS t FROM (SELECT DISTINCT CAST(ts AS DATE), symbol FROM T) y) SELECT round(h / t {N}, 7) AS ratio, h / t < 0.25 AS intraday FROM H, X",
     "txn_time_hist": f"WITH E AS (SELECT hour(ts) * 60 AS bin, sum(abs(value)) AS v FROM events GROUP BY 1) SELECT CAST(bin AS INTEGER) AS bin, round(v / sum(v) OVER () {N}, 7) AS share FROM E",
     "fill_blocks": f"""WITH {T_SQL}, A AS (SELECT *, lag(amount > 0) OVER w AS was, lag(ts) OVER w AS prev FROM T WINDOW w AS (PARTITION BY symbol ORDER BY ts, seq)),
