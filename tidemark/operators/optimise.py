@@ -92,13 +92,13 @@ class Programs:
             lo, hi = hi, hi * 4
             if hi > 1e9:
                 raise OptimizationError("the target cannot be met within the bounds")
-        for _ in range(60):
+        for _ in range(40):
             mid = (lo + hi) / 2
             lo, hi = (lo, mid) if reached(self.at(mid)) else (mid, hi)
         return self.at(hi)
 
     def target_return(self, target: float) -> np.ndarray:
-        return self._search(lambda w: w @ self.mean >= target - 1e-10)
+        return self._search(lambda w: w @ self.mean >= target - 1e-7 * max(abs(target), 1e-3))
 
     def target_risk(self, target: float) -> np.ndarray:
         if self.figures(self.at(0.0))[1] > target + 1e-12:
@@ -109,10 +109,10 @@ class Programs:
             return self.at(1e9)
 
     def max_sharpe(self) -> np.ndarray:
-        tastes = np.concatenate([[0.0], np.geomspace(1e-4, 1e4, 49)])
+        tastes = np.concatenate([[0.0], np.geomspace(1e-3, 1e3, 31)])
         best = max(tastes, key=lambda t: self.figures(self.at(t))[2])
         lo, hi = best / 1.6, best * 1.6
-        for _ in range(40):
+        for _ in range(20):
             a, b = lo + (hi - lo) / 3, hi - (hi - lo) / 3
             lo, hi = (a, hi) if self.figures(self.at(a))[2] < self.figures(self.at(b))[2] else (lo, b)
         return max((self.at(t) for t in (best, (lo + hi) / 2)), key=lambda w: self.figures(w)[2])
