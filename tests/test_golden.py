@@ -193,3 +193,25 @@ def test_empty(series, spark):
 def test_extra_columns(series):
     df = series(MIXED, BENCH).withColumn("nav", F.lit("x")).withColumn("value", F.lit(1))
     assert M.compute(df.drop("nav"), ["max_drawdown"]).first()["max_drawdown"] == pytest.approx(-0.1)
+
+
+def test_rolling_against_each_window(series):
+    """Running sums give what each window gives by itself, nulls, constant stretches and total losses included."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    values = [None if rng.random() < 0.1 else float(np.round(rng.normal(), 2)) for _ in range(60)] + [1.0] * 12 + [-100.0, 2.0, -3.0] + [float(v) for v in rng.normal(size=20)]
+    f = [None if rng.random() < 0.1 else float(np.round(rng.normal(), 2)) for _ in values]
+    df = series(values, f)
+    w = 8
+    got = S.rolling(df, "all", w).orderBy("dt").collect()
+    rows = df.orderBy("dt").collect()
+    assert len(got) == len(values) - w + 1
+    names = {"sharpe": "sharpe_ratio", "volatility": "annual_volatility", "beta": "beta", "alpha": "alpha", "up_capture": "up_capture", "down_capture": "down_capture"}
+    for k in range(0, len(got), 3):
+        one_window = df.where((F.col("dt") >= F.lit(rows[k]["dt"])) & (F.col("dt") <= F.lit(rows[k + w - 1]["dt"])))
+        want = M.compute(one_window, [*names.values(), "max_drawdown"]).first()
+        for mine, its in names.items():
+            a, b = got[k][mine], want[its]
+            assert (a is None) == (b is None) and (a is None or a == b or a == pytest.approx(b, rel=1e-7, abs=1e-9)), (k, mine, a, b)
+        assert got[k]["max_drawdown"] == pytest.approx(min(want["max_drawdown"], 0.0), abs=1e-9)

@@ -186,81 +186,131 @@ def consecutive_stats(df: DataFrame) -> DataFrame:
 
 # ---- rolling windows
 
+ROLLING = ("sharpe", "volatility", "sortino", "mean_return", "max_drawdown")
+ROLLING_WITH_F = ("beta", "alpha", "mean_alpha", "up_capture", "down_capture", "up_down_capture")
+
 
 def rolling(df: DataFrame, names: Iterable[str] | str = "all", window: int = 252, risk_free: float = 0.0, period: str = "daily", annualization: float | None = None, full: bool = True) -> DataFrame:
     """sid, dt and one column per metric over the last ``window`` rows; all metrics share one window.
 
     With ``full`` only rows with a complete window come out; without, earlier rows have nulls. Unknown names raise
-    ValueError. Any aggregate of REGISTRY that reads only ret and f can be named besides the own ones.
+    ValueError. Every metric but max_drawdown is arithmetic on running sums and their values ``window`` rows before,
+    so a row costs the same whatever the window; a variance below 1e-12 of the mean square is rounding and counts as 0.
     """
     ann = annualization_factor(period, annualization)
-    w = Window.partitionBy("sid").orderBy("dt").rowsBetween(-(window - 1), 0)
-    has_f = "f" in df.columns
-    own: dict[str, Callable[[], Column]] = {
-        "sharpe": lambda: _sharpe_over(risk_free, ann, w),
-        "volatility": lambda: F.stddev_samp("ret").over(w) * math.sqrt(ann),
-        "sortino": lambda: F.try_divide(F.avg("ret").over(w) * math.sqrt(ann), F.stddev_samp(F.when(F.col("ret").isNotNull(), F.least("ret", F.lit(0.0)))).over(w)),
-        "mean_return": lambda: F.avg("ret").over(w) * ann,
-        "max_drawdown": lambda: _window_drawdown(w),
-    }
-    with_f: dict[str, Callable[[], Column]] = {
-        "beta": lambda: _slope_over(w),
-        "alpha": lambda: F.pow(1 + F.avg(_r() - risk_free).over(w) - _slope_over(w) * F.avg(_f() - risk_free).over(w), F.lit(ann)) - 1,
-        "mean_alpha": lambda: F.avg(_r()).over(w) - _slope_over(w) * F.avg(_f()).over(w),
-        "up_capture": lambda: _capture_over(F.col("f") > 0, w, ann),
-        "down_capture": lambda: _capture_over(F.col("f") < 0, w, ann),
-        "up_down_capture": lambda: F.try_divide(_capture_over(F.col("f") > 0, w, ann), _capture_over(F.col("f") < 0, w, ann)),
-    }
-    known = own | (with_f if has_f else {})
+    known = ROLLING + (ROLLING_WITH_F if "f" in df.columns else ())
     chosen = list(known) if names == "all" else [names] if isinstance(names, str) else list(names)
     if unknown := [n for n in chosen if n not in known]:
         raise ValueError(f"unknown rolling metrics {unknown}; there are {sorted(known)}")
-    n = F.count(F.lit(1)).over(w)
-    out = df.select("sid", "dt", n.alias("__n"), *(known[m]().alias(m) for m in chosen))
+    order = Window.partitionBy("sid").orderBy("dt")
+    flow = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    r = F.col("ret")
+    pair = r.isNotNull() & F.col("f").isNotNull() if "f" in df.columns else F.lit(False)
+    low = F.least(r, F.lit(0.0))
+    parts: dict[str, Column] = {"n": F.when(r.isNotNull(), 1).otherwise(0), "s": F.coalesce(r, F.lit(0.0)), "ss": F.coalesce(r * r, F.lit(0.0))}
+    if "sortino" in chosen:
+        parts |= {"l": F.when(r.isNotNull(), low).otherwise(0.0), "ll": F.when(r.isNotNull(), low * low).otherwise(0.0)}
+    if {"beta", "alpha", "mean_alpha"} & set(chosen):
+        f = F.col("f")
+        parts |= {k: F.when(pair, v).otherwise(0.0) for k, v in (("pn", F.lit(1.0)), ("pr", r), ("pf", f), ("prf", r * f), ("pff", f * f))}
+    sides = [("u", F.col("f") > 0)] if {"up_capture", "up_down_capture"} & set(chosen) else []
+    sides += [("d", F.col("f") < 0)] if {"down_capture", "up_down_capture"} & set(chosen) else []
+    for key, where in sides:
+        parts[f"{key}n"] = F.when(where, 1).otherwise(0)
+        for c in ("ret", "f"):
+            g = 1 + F.col(c)
+            live = where & F.col(c).isNotNull()
+            parts[f"{key}{c}log"] = F.when(live & (g != 0), F.ln(F.abs(g))).otherwise(0.0)
+            parts[f"{key}{c}zero"] = F.when(live & (g == 0), 1).otherwise(0)
+            parts[f"{key}{c}neg"] = F.when(live & (g < 0), 1).otherwise(0)
+    sums = df.select("sid", "dt", *(["f"] if "f" in df.columns else []), "ret", F.row_number().over(order).alias("rn"), *(F.sum(v).over(flow).alias(k) for k, v in parts.items()))
+    inside = sums.select("sid", "dt", "rn", *((F.col(k) - F.coalesce(F.lag(k, window).over(order), F.lit(0))).alias(k) for k in parts))
+
+    def deviation(n: str, s: str, ss: str) -> Column:
+        c, mean_square = F.col(n), F.try_divide(F.col(ss), F.col(n))
+        var = F.try_divide(F.col(ss) - F.col(s) * F.try_divide(F.col(s), c), c - 1)
+        return F.sqrt(F.when(var < 1e-12 * mean_square, 0.0).otherwise(var))
+
+    def capture(key: str) -> Column:
+        def cagr(c: str) -> Column:
+            end = F.exp(F.col(f"{key}{c}log"))
+            lost = (F.col(f"{key}{c}zero") > 0) | (F.col(f"{key}{c}neg") % 2 == 1)
+            return F.when(F.col(f"{key}n") < 1, None).when(lost, -1.0).otherwise(F.pow(end, F.try_divide(F.lit(ann), F.col(f"{key}n"))) - 1)
+
+        return F.try_divide(cagr("ret"), cagr("f"))
+
+    mean, sd = F.try_divide("s", "n"), deviation("n", "s", "ss")
+    excess = mean - risk_free
+    built = {
+        "sharpe": lambda: F.when(sd == 0, F.when(excess > 0, M.INF()).when(excess < 0, -M.INF())).otherwise(F.try_divide(excess, sd)) * math.sqrt(ann),
+        "volatility": lambda: sd * math.sqrt(ann),
+        "sortino": lambda: F.try_divide(mean * math.sqrt(ann), deviation("n", "l", "ll")),
+        "mean_return": lambda: mean * ann,
+        "up_capture": lambda: capture("u"),
+        "down_capture": lambda: capture("d"),
+        "up_down_capture": lambda: F.try_divide(capture("u"), capture("d")),
+    }
+    mr, mf = F.try_divide("pr", "pn"), F.try_divide("pf", "pn")
+    vf = F.try_divide("pff", "pn") - mf * mf
+    slope = F.when((F.col("pn") >= 2) & (vf >= 1e-30) & (vf > 1e-12 * F.try_divide("pff", "pn")), F.try_divide(F.try_divide("prf", "pn") - mr * mf, vf))
+    built |= {"beta": lambda: slope, "mean_alpha": lambda: mr - slope * mf, "alpha": lambda: F.pow(1 + mr - risk_free - slope * (mf - risk_free), F.lit(ann)) - 1}
+    ready = inside.select("sid", "dt", "rn", *(built[m]().alias(m) for m in chosen if m != "max_drawdown"))
+    if "max_drawdown" in chosen:
+        ready = ready.join(_rolling_drawdown(df, window), ["sid", "dt"], "left")
     if full:
-        return out.where(F.col("__n") == window).drop("__n")
-    return out.select("sid", "dt", *(F.when(F.col("__n") == window, F.col(m)).alias(m) for m in chosen))
-
-
-def _r() -> Column:
-    return F.when(F.col("f").isNotNull(), F.col("ret"))
-
-
-def _f() -> Column:
-    return F.when(F.col("ret").isNotNull(), F.col("f"))
-
-
-def _slope_over(w) -> Column:  # noqa: ANN001
-    v = F.var_pop(_f()).over(w)
-    return F.when(v >= 1e-30, F.try_divide(F.covar_pop(_r(), _f()).over(w), v))
+        return ready.where(F.col("rn") >= window).select("sid", "dt", *chosen)
+    return ready.select("sid", "dt", *(F.when(F.col("rn") >= window, F.col(m)).alias(m) for m in chosen))
+
+
+def window_drawdowns(x: np.ndarray, window: int) -> np.ndarray:
+    """Deepest drawdown of every full window, the window's start counting as a peak.
+
+    Stretches of doubled length are joined (greatest, least and deepest fall of each), then the window is put together
+    from the stretches of its binary digits: log2(window) steps over the whole array."""
+    nav = np.concatenate([[1.0], np.cumprod(1 + np.nan_to_num(x))])
+    if np.any(nav <= 0) or not np.all(np.isfinite(nav)):  # everything lost within: compound each window by itself
+        cut = np.lib.stride_tricks.sliding_window_view(np.nan_to_num(x), window)
+        out = np.empty(len(cut))
+        for k in range(0, len(cut), 4096):
+            c = np.cumprod(1 + cut[k : k + 4096], axis=1)
+            p = np.maximum(np.maximum.accumulate(c, axis=1), 1.0)
+            out[k : k + 4096] = np.minimum((c / p - 1).min(axis=1), 0.0)
+        return out
+    length = window + 1
+    hi, lo, fall = nav, nav, np.zeros(len(nav))
+    size, done = 1, 0
+    acc: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+    n = len(nav) - length + 1
+    while True:
+        if length & size:
+            part = tuple(v[done : done + n] for v in (hi, lo, fall))
+            acc = part if acc is None else (np.maximum(acc[0], part[0]), np.minimum(acc[1], part[1]), np.minimum(np.minimum(acc[2], part[2]), part[1] / acc[0] - 1))
+            done += size
+        if done == length:
+            return acc[2]
+        hi, lo, fall = np.maximum(hi[:-size], hi[size:]), np.minimum(lo[:-size], lo[size:]), np.minimum(np.minimum(fall[:-size], fall[size:]), lo[size:] / hi[:-size] - 1)
+        size *= 2
+
+
+def _rolling_drawdown(df: DataFrame, window: int, shard_rows: int = 100_000) -> DataFrame:
+    """sid, dt, max_drawdown of full windows. A series is cut into shards of ``shard_rows`` rows, each with the rows its
+    first windows reach back to, so a long series is spread over tasks."""
+    rn = F.row_number().over(Window.partitionBy("sid").orderBy("dt")) - 1
+    shard_rows = max(shard_rows, 4 * window)
+    own = F.floor(F.col("rn") / shard_rows)
+    ahead = F.floor((F.col("rn") + window - 1) / shard_rows)
+    cut = df.select("sid", "dt", "ret", rn.alias("rn")).withColumn("shard", F.explode(F.array_distinct(F.array(own, ahead))))
+    kind, day = df.schema["sid"].dataType.simpleString(), df.schema["dt"].dataType.simpleString()
 
-
-def _sharpe_over(risk_free: float, ann: float, w) -> Column:  # noqa: ANN001
-    r = F.col("ret") - risk_free
-    mean, sd = F.avg(r).over(w), F.stddev_samp(r).over(w)
-    return F.when(sd == 0, F.when(mean > 0, M.INF()).when(mean < 0, -M.INF())).otherwise(F.try_divide(mean, sd)) * math.sqrt(ann)
-
-
-def _capture_over(where: Column, w, ann: float) -> Column:  # noqa: ANN001
-    n = F.count(F.when(where, 1)).over(w)
-
-    def cagr(c: str) -> Column:
-        end = F.coalesce(F.product(F.when(where, 1 + F.col(c))).over(w), F.lit(1.0))
-        return F.when(n < 1, None).when(end <= 0, F.lit(-1.0)).otherwise(F.pow(end, F.try_divide(F.lit(ann), n)) - 1)
-
-    return F.try_divide(cagr("ret"), cagr("f"))
-
-
-def _window_drawdown(w) -> Column:  # noqa: ANN001
-    """Drawdown inside each window with a start of 1: a fold over the window's returns."""
-    start = F.struct(F.lit(1.0).alias("c"), F.lit(1.0).alias("p"), F.lit(0.0).alias("m"))
-
-    def step(acc: Column, r: Column) -> Column:
-        c = acc["c"] * (1 + r)
-        p = F.greatest(acc["p"], c)
-        return F.struct(c.alias("c"), p.alias("p"), F.least(acc["m"], F.try_divide(c, p) - 1).alias("m"))
-
-    return F.aggregate(F.collect_list(F.coalesce("ret", F.lit(0.0))).over(w), start, step, lambda a: a["m"])
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("rn")
+        if len(pdf) < window:
+            return pd.DataFrame({"sid": [], "dt": [], "max_drawdown": []}).astype({"sid": pdf["sid"].dtype, "max_drawdown": float})
+        tail = pdf.iloc[window - 1 :]
+        out = pd.DataFrame({"sid": tail["sid"], "dt": tail["dt"], "max_drawdown": window_drawdowns(pdf["ret"].to_numpy(dtype=float), window)})
+        return out[(tail["rn"] // shard_rows == tail["shard"]).to_numpy()]
+
+    return cut.groupBy("sid", "shard").applyInPandas(run, f"sid {kind}, dt {day}, max_drawdown double")
 
 
 def roll(df: DataFrame, function: Callable[..., float], window: int, columns: tuple[str, ...] = ("ret",)) -> DataFrame:
