@@ -1,8 +1,11 @@
 """Repetition inside a document: rule statistics, an isolation forest over them, and an exact share.
 
 The statistics of every document are computed once, over its whole text. The forest is grown on a bounded sample of
-them; the score beyond which a document is looked at is calibrated on labelled rows (a document is labelled repetitive
-if its exact repeated share exceeds the limit). Documents beyond it are then held against the exact limit.
+them, over the shares repeated in grams of three lengths; the score beyond which a document is looked at is calibrated
+on labelled rows (a document is labelled repetitive if its exact repeated share exceeds the limit). A document over the
+limit at the longest gram is over it at the shorter ones too, so the least score that the forest can give to any such
+document follows from its trees; the calibrated score is never above that, and none is dismissed that the exact limit,
+applied to the suspects, would keep.
 """
 
 from __future__ import annotations
@@ -17,11 +20,14 @@ from pyspark.sql import functions as F
 from ..storage import materialize
 from . import streams
 
-FEATURES = ("repeated", "same_lines", "same_words", "top_gram", "long_words")
+SHORTER = (4, 3)
+FOREST = ("repeated", *(f"repeated_{g}" for g in SHORTER))
+FEATURES = (*FOREST, "same_lines", "same_words", "top_gram", "long_words")
 
 
 def statistics(texts: list[str], gram: int = 6, most_chars: int = 1_000_000) -> pd.DataFrame:
-    """Per text: words, and the shares ``repeated`` (words in ``gram`` successive words that stood earlier), ``same_lines``
+    """Per text: words, and the shares ``repeated`` (words in ``gram`` successive words that stood earlier), the same for
+    shorter grams (``repeated_4``, ``repeated_3``), ``same_lines``
     (lines equal to an earlier line, blank ones aside), ``same_words`` (words seen before), ``top_gram`` (words held by
     the most frequent gram) and ``long_words`` (words of more than 20 characters). A text without words has zeros."""
     parts = []
@@ -32,22 +38,8 @@ def statistics(texts: list[str], gram: int = 6, most_chars: int = 1_000_000) ->
         h = streams.word_hashes(cp, s, e)
         count = np.bincount(doc, minlength=n).astype(np.float64)
         own = h ^ (doc.astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
-        g = streams.grams(own, gram)
-        within = doc[: len(g)] == doc[gram - 1 :] if len(g) else np.zeros(0, dtype=bool)
-        at = np.flatnonzero(within)
-        order = at[np.argsort(g[at], kind="stable")]
-        again = np.zeros(len(order), dtype=bool)
-        again[1:] = g[order][1:] == g[order][:-1]
-        cover = np.zeros(len(doc) + 1, dtype=np.int64)
-        np.add.at(cover, order[again], 1)
-        np.add.at(cover, order[again] + gram, -1)
-        covered = np.cumsum(cover[:-1]) > 0
-        repeated = np.bincount(doc[covered], minlength=n)
-        top = np.zeros(n)
-        if len(order):
-            first = np.flatnonzero(~again)
-            size = np.diff(np.append(first, len(order)))
-            np.maximum.at(top, doc[order[first]], (size - 1) * gram)
+        repeated, top = _repeated(own, doc, n, gram)
+        shorter = {f"repeated_{k}": _repeated(own, doc, n, k)[0] for k in SHORTER}
         distinct = np.unique(own, return_index=True)[1] if len(own) else np.zeros(0, dtype=np.int64)
         kinds = np.bincount(doc[distinct], minlength=n)
         wide = np.bincount(doc[(e - s) > 20], minlength=n)
@@ -69,6 +61,7 @@ def statistics(texts: list[str], gram: int = 6, most_chars: int = 1_000_000) ->
                     "words": count.astype(np.int64),
                     "repeated_words": repeated.astype(np.int64),
                     "repeated": repeated / whole,
+                    **{k: v / whole for k, v in shorter.items()},
                     "same_lines": lines,
                     "same_words": 1.0 - np.where(count > 0, kinds / whole, 1.0),
                     "top_gram": np.minimum(top / whole, 1.0),
@@ -79,6 +72,24 @@ def statistics(texts: list[str], gram: int = 6, most_chars: int = 1_000_000) ->
     return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({c: [] for c in ("words", "repeated_words", *FEATURES)})
 
 
+def _repeated(own: np.ndarray, doc: np.ndarray, n: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per text: words that lie in a gram that stood earlier, and words held by the later places of its most frequent gram."""
+    g = streams.grams(own, gram)
+    at = np.flatnonzero(doc[: len(g)] == doc[gram - 1 :]) if len(g) else np.zeros(0, dtype=np.int64)
+    order = at[np.argsort(g[at], kind="stable")]
+    again = np.zeros(len(order), dtype=bool)
+    again[1:] = g[order][1:] == g[order][:-1]
+    cover = np.zeros(len(doc) + 1, dtype=np.int64)
+    np.add.at(cover, order[again], 1)
+    np.add.at(cover, order[again] + gram, -1)
+    repeated = np.bincount(doc[np.cumsum(cover[:-1]) > 0], minlength=n)
+    top = np.zeros(n)
+    if len(order):
+        first = np.flatnonzero(~again)
+        np.maximum.at(top, doc[order[first]], (np.diff(np.append(first, len(order))) - 1) * gram)
+    return repeated, top
+
+
 class Forest:
     """Isolation forest (Liu, Ting and Zhou 2008) as flat arrays, one column per tree."""
 
@@ -111,6 +122,21 @@ class Forest:
         """Mean path length of an unsuccessful search among ``n``."""
         return 0.0 if n <= 1 else 2.0 * (np.log(n - 1) + 0.5772156649015329) - 2.0 * (n - 1) / n if n > 2 else 1.0
 
+    def least_score(self, low: np.ndarray) -> float:
+        """No row with every feature at or above ``low`` scores below this: from the longest path open to such rows."""
+        total = 0.0
+        for feature, cut, length in zip(self.feature, self.cut, self.length, strict=True):
+            stack, longest = [0], 0.0
+            while stack:
+                node = stack.pop()
+                f = feature[node]
+                if f < 0:
+                    longest = max(longest, length[node])
+                else:
+                    stack += [2 * node + 2] + ([2 * node + 1] if low[f] < cut[node] else [])
+            total += longest
+        return float(2.0 ** (-total / len(self.feature) / max(self.norm, 1e-9))) - 1e-9
+
     def score(self, x: np.ndarray) -> np.ndarray:
         """Between 0 and 1; the higher, the shorter the paths."""
         total = np.zeros(len(x))
@@ -143,7 +169,8 @@ def repeated_content(
     ``suspect`` documents score at least the calibrated anomaly; ``repetitive`` ones are suspects whose repeated share
     exceeds ``limit``. The forest is grown and its score calibrated on about ``labelled_rows`` documents (those whose
     hash of doc_id lies below the share of the corpus that they make up): the calibrated score is the lowest that any of them with more than half of ``limit`` has,
-    so that a document at the limit lies well inside. Without such rows every document is a suspect.
+    or the least that the forest can give to a document over the limit, whichever is lower. Without a forest (fewer than
+    two rows) every document is a suspect. ``gram`` must exceed the shorter grams.
 
     A null text counts as empty and has share 0; very long texts are handled whole; rows with null doc_id are left
     out; of several rows with one doc_id the one with the highest share stands; an empty table gives no rows.
@@ -162,17 +189,18 @@ def repeated_content(
     rows = stats.count()
     share = labelled_rows / max(rows, labelled_rows)
     labelled = stats.where(F.xxhash64("doc_id") < F.lit(min(int(share * 2.0**64) - (1 << 63), (1 << 63) - 1))).toPandas().sort_values("doc_id")
-    x = labelled[list(FEATURES)].to_numpy()
+    x = labelled[list(FOREST)].to_numpy()
     cutoff, forest = -1.0, None
     if len(x) > 1:
         forest = Forest(x, trees, sample, seed)
+        cutoff = forest.least_score(np.full(len(FOREST), limit))
         near = labelled["repeated"].to_numpy() > limit / 2
         if near.any():
-            cutoff = float(forest.score(x[near]).min())
+            cutoff = min(cutoff, float(forest.score(x[near]).min()))
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            pdf["anomaly"] = forest.score(pdf[list(FEATURES)].to_numpy()) if forest else 1.0
+            pdf["anomaly"] = forest.score(pdf[list(FOREST)].to_numpy()) if forest else 1.0
             pdf["suspect"] = pdf["anomaly"] >= cutoff
             pdf["repetitive"] = pdf["suspect"] & (pdf["repeated_words"] > limit * pdf["words"])
             yield pdf
