@@ -151,6 +151,16 @@ def test_forest_ranks_outliers():
     assert s[-2] > np.quantile(s, 0.995) and s[-1] > np.quantile(s, 0.99)
 
 
+def test_forest_dismisses_nothing_over_the_limit():
+    rng = np.random.default_rng(3)
+    x = np.abs(rng.normal(0, 0.03, (3000, 3)))
+    x[:60] += rng.uniform(0.2, 0.7, (60, 1))
+    f = Forest(x, 60, 256, 2)
+    beyond = rng.uniform(0.3, 1.0, (5000, 3))
+    assert f.score(beyond).min() >= f.least_score(np.full(3, 0.3))
+    assert (f.score(x) >= f.least_score(np.full(3, 0.3))).mean() < 0.5
+
+
 # ---- mixture
 
 TARGETS = "source string, target_share double, max_repeats int"
