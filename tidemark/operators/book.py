@@ -24,8 +24,9 @@ def extract_positions(raw: DataFrame, cash: DataFrame) -> DataFrame:
     0 for sids not held that day among all that were ever held, and the day's cash."""
     held = raw.groupBy("dt", F.col("sid").cast("string").alias("symbol")).agg(F.avg(F.col("amount") * F.col("last_sale_price")).alias("value"))
     days = held.select("dt").distinct()
-    # the calendar and the list of sids: the dense table is the result itself
-    grid = days.join(held.select("symbol").distinct())
+    # the calendar is one array (as long as there are days), exploded for every sid: the dense table is the result itself
+    calendar = days.agg(F.collect_set("dt").alias("all_days"))
+    grid = held.select("symbol").distinct().join(F.broadcast(calendar)).select("symbol", F.explode("all_days").alias("dt"))
     dense = grid.join(held, ["dt", "symbol"], "left").select("dt", "symbol", F.coalesce("value", F.lit(0.0)).alias("value"))
     money = days.join(cash, "dt", "left").select("dt", F.lit(CASH).alias("symbol"), F.coalesce("cash", F.lit(0.0)).alias("value"))
     return dense.unionByName(money)
