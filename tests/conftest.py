@@ -19,6 +19,7 @@ def spark():
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "3g")
+        .config("spark.sql.codegen.wholeStage", "false")  # small tables: compiling takes longer than running
         .getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")

@@ -75,7 +75,7 @@ def p6_totals(spark: SparkSession, sf: str) -> DataFrame:
         .groupBy("row_id", "symbol")
         .agg(F.min("utc_us").alias("utc_us"), F.min("value").alias("value"))
         .where("utc_us IS NOT NULL")
-        .select(F.lit("transactions_csv").alias("tab"), F.col("symbol").alias("source_key"), F.to_date(F.timestamp_micros("utc_us")).alias("day"), F.round(F.col("value") * 100).cast("long").alias("units"))
+        .select(F.lit("transactions_csv").alias("tab"), F.col("symbol").alias("source_key"), F.date_from_unix_date(F.floor(F.col("utc_us") / 86_400_000_000).cast("int")).alias("day"), F.round(F.col("value") * 100).cast("long").alias("units"))
     )
     returns = (
         table(spark, sf, "returns_csv")
