@@ -86,4 +86,17 @@ SQL = {
           UNION ALL
           SELECT 'returns_csv', sid, min(c1) FROM returns_csv WHERE sid IS NOT NULL GROUP BY return_id, sid)
         SELECT tab, source_key, count(value) AS n, TRUE AS within FROM v WHERE value IS NOT NULL GROUP BY tab, source_key""",
+    "p7_found": r"""
+        WITH d AS (SELECT doc_id AS id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents) x),
+        e AS (SELECT item_id AS id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM (SELECT item_id, regexp_extract_all(lower(passage), '[\p{L}\p{N}]+') AS w FROM eval_items) x),
+        dg AS (SELECT id, string_agg(w, ' ') OVER p AS g, count(*) OVER p AS n FROM d WINDOW p AS (PARTITION BY id ORDER BY i ROWS BETWEEN CURRENT ROW AND 11 FOLLOWING)),
+        eg AS (SELECT id, string_agg(w, ' ') OVER p AS g, count(*) OVER p AS n FROM e WINDOW p AS (PARTITION BY id ORDER BY i ROWS BETWEEN CURRENT ROW AND 11 FOLLOWING))
+        SELECT DISTINCT dg.id AS doc_id, eg.id AS item_id FROM dg JOIN eg ON dg.g = eg.g AND dg.n = 12 AND eg.n = 12""",
+    "p9_found": r"""
+        WITH t AS (SELECT doc_id AS id, regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '(?m)^-.*$', '', 'g') AS t FROM documents),
+        d AS (SELECT id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM (SELECT id, regexp_extract_all(lower(t), '[\p{L}\p{N}]+') AS w FROM t) x),
+        g AS (SELECT id, i, string_agg(w, ' ') OVER p AS g, count(*) OVER p AS n FROM d WINDOW p AS (PARTITION BY id ORDER BY i ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING)),
+        f AS (SELECT id, i, CASE WHEN n = 6 AND i > min(i) OVER (PARTITION BY id, g, n) THEN 1 ELSE 0 END AS again FROM g),
+        c AS (SELECT id, max(again) OVER (PARTITION BY id ORDER BY i ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS hit FROM f)
+        SELECT id AS doc_id FROM c GROUP BY id HAVING sum(hit) > 0.3 * count(*)""",
 }
