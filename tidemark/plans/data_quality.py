@@ -94,6 +94,20 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found}
 
 SQL = {
+    # level and spread by median and median deviation, then mean and deviation of what lies within: another road to the same cases
+    "p1_found": """
+        WITH r AS (
+          SELECT 'transactions_csv' AS tab, symbol AS src, txn_id AS ord, txn_id AS row_id, min(price) AS x, 0.0 AS least FROM transactions_csv WHERE symbol IS NOT NULL AND price IS NOT NULL GROUP BY symbol, txn_id
+          UNION ALL SELECT 'global_index_data', "代码", quote_id, quote_id, min("涨跌幅"), -100.0 FROM global_index_data WHERE "代码" IS NOT NULL AND "涨跌幅" IS NOT NULL GROUP BY "代码", quote_id
+          UNION ALL SELECT 'returns_csv', sid, CAST(min(c0) - DATE '1970-01-01' AS BIGINT), return_id, min(c1), -1.0 FROM returns_csv WHERE sid IS NOT NULL AND c1 IS NOT NULL GROUP BY sid, return_id),
+        m AS (SELECT tab, src, median(x) AS med FROM r WHERE x > least GROUP BY 1, 2),
+        a AS (SELECT r.tab, r.src, m.med, median(abs(x - med)) AS mad FROM r JOIN m ON m.tab = r.tab AND m.src = r.src WHERE x > least GROUP BY 1, 2, 3),
+        k AS (SELECT r.tab, r.src, avg(x) AS lvl, stddev_samp(x) AS sd FROM r JOIN a ON a.tab = r.tab AND a.src = r.src WHERE x > least AND abs(x - med) <= 8 * 1.4826 * mad GROUP BY 1, 2),
+        far AS (SELECT r.tab, row_id FROM r LEFT JOIN k ON k.tab = r.tab AND k.src = r.src WHERE x <= least OR abs(x - lvl) > 8 * sd),
+        b AS (SELECT *, CASE WHEN x = lag(x) OVER (PARTITION BY tab, src ORDER BY ord, row_id) THEN 0 ELSE 1 END AS fresh FROM r),
+        c AS (SELECT *, sum(fresh) OVER (PARTITION BY tab, src ORDER BY ord, row_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM b),
+        stuck AS (SELECT tab, row_id FROM (SELECT tab, row_id, count(*) OVER (PARTITION BY tab, src, run) AS n FROM c) x WHERE n >= 5)
+        SELECT tab, row_id FROM far UNION SELECT tab, row_id FROM stuck""",
     "p3_found": """
         WITH joined AS (
           SELECT p.pos_id, l.loading_id, row_number() OVER (PARTITION BY p.pos_id ORDER BY l.dt DESC, l.known_at DESC, l.loading_id DESC) AS k
