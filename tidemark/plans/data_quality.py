@@ -91,6 +91,43 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return p6_totals(spark, sf).select("tab", "source_key", F.date_format("day", "yyyy-MM-dd").alias("day"), "total_7", "total_30")
 
 
+# Wall-clock texts to instants: candidates an hour apart are tried, which covers the zones of `feeds`.
+_UTC_SQL = r"""
+        src AS (
+          SELECT 'transactions_csv' AS tab, txn_id AS row_id, date AS t, feed, symbol, value FROM transactions_csv
+          UNION ALL SELECT 'global_index_data', quote_id, "最新行情时间", feed, NULL, NULL FROM global_index_data),
+        t0 AS (SELECT s.*, f.tz, f.day_first, trim(translate(t, '：，．－／＋　' || chr(9), ':,.-/+  ')) AS x FROM src s LEFT JOIN feeds f ON f.feed = s.feed),
+        t1 AS (SELECT *,
+          regexp_extract(x, '^(\d{4}-\d{2}-\d{2})[Tt ](\d{2}:\d{2})(:\d{2})?[.,]?(\d*) ?(.*)$', ['d', 'hm', 's', 'f', 'z']) AS a,
+          regexp_extract(x, '^(\d{4})(\d{2})(\d{2})T?(\d{2})(\d{2})(\d{2})([-+]\d{4})?$', ['y', 'm', 'd', 'h', 'n', 's', 'z']) AS b,
+          regexp_extract(x, '^(\d{4})[年.](\d{1,2})[月.](\d{1,2})日? (\d{2}:\d{2})(:\d{2})?$', ['y', 'm', 'd', 'hm', 's']) AS c,
+          regexp_extract(x, '^(\d{2})[/.](\d{2})[/.](\d{4}) (\d{2}):(\d{2})(:\d{2})? ?([AP]M)?$', ['p', 'q', 'y', 'h', 'n', 's', 'half']) AS e,
+          regexp_extract(x, '^(\d{1,2}) ([A-Z][a-z]{2}) (\d{4}) (\d{2}:\d{2}:\d{2}) ([-+]\d{4})$', ['d', 'mon', 'y', 'hms', 'z']) AS g
+          FROM t0),
+        t2 AS (SELECT *, CASE
+            WHEN a.d <> '' THEN a.d || ' ' || a.hm || coalesce(nullif(a.s, ''), ':00') || '.' || rpad(left(a.f, 6), 6, '0')
+            WHEN b.y <> '' THEN b.y || '-' || b.m || '-' || b.d || ' ' || b.h || ':' || b.n || ':' || b.s || '.000000'
+            WHEN c.y <> '' THEN c.y || '-' || lpad(c.m, 2, '0') || '-' || lpad(c.d, 2, '0') || ' ' || c.hm || coalesce(nullif(c.s, ''), ':00') || '.000000'
+            WHEN e.y <> '' THEN e.y || '-' || CASE WHEN day_first THEN e.q || '-' || e.p ELSE e.p || '-' || e.q END || ' '
+              || CASE e.half WHEN '' THEN e.h WHEN 'AM' THEN lpad(CAST(TRY_CAST(e.h AS INTEGER) % 12 AS VARCHAR), 2, '0') ELSE CAST(TRY_CAST(e.h AS INTEGER) % 12 + 12 AS VARCHAR) END || ':' || e.n || coalesce(nullif(e.s, ''), ':00') || '.000000'
+            WHEN g.y <> '' THEN g.y || '-' || lpad(CAST((position(g.mon IN 'JanFebMarAprMayJunJulAugSepOctNovDec') + 2) // 3 AS VARCHAR), 2, '0') || '-' || lpad(g.d, 2, '0') || ' ' || g.hms || '.000000'
+          END AS wall_text,
+          coalesce(nullif(a.z, ''), nullif(b.z, ''), nullif(g.z, ''), '') AS z FROM t1),
+        t3 AS (SELECT *, try_strptime(wall_text, '%Y-%m-%d %H:%M:%S.%f') AS w FROM t2),
+        t4 AS (SELECT *, CASE WHEN tz IS NOT NULL THEN timezone(tz, w) END AS u FROM t3),
+        t5 AS (SELECT *, timezone(tz, u) = w AS exists_, CASE WHEN timezone(tz, u - INTERVAL 1 HOUR) = w THEN u - INTERVAL 1 HOUR ELSE u END AS early, CASE WHEN timezone(tz, u + INTERVAL 1 HOUR) = w THEN u + INTERVAL 1 HOUR ELSE u END AS late FROM t4),
+        utc AS (SELECT tab, row_id, symbol, value, CASE
+            WHEN regexp_matches(x, '^\d{10}$') THEN TRY_CAST(x AS BIGINT) * 1000000
+            WHEN regexp_matches(x, '^\d{13}$') THEN TRY_CAST(x AS BIGINT) * 1000
+            WHEN regexp_matches(x, '^\d{16}$') THEN TRY_CAST(x AS BIGINT)
+            WHEN w IS NULL OR (e.half <> '' AND TRY_CAST(e.h AS INTEGER) NOT BETWEEN 1 AND 12) THEN NULL
+            WHEN upper(z) = 'Z' THEN epoch_us(w)
+            WHEN regexp_matches(z, '^[-+]\d{2}:?\d{2}$') THEN epoch_us(w) - CASE left(z, 1) WHEN '-' THEN -1 ELSE 1 END * (TRY_CAST(substr(z, 2, 2) AS BIGINT) * 3600 + TRY_CAST(right(z, 2) AS BIGINT) * 60) * 1000000
+            WHEN NOT exists_ THEN NULL
+            WHEN z IN ('EST', 'CST', 'GMT', 'CET', 'AEST', 'NST') THEN epoch_us(late)
+            WHEN z = '' OR regexp_matches(z, '^[A-Za-z_/]+$') THEN epoch_us(early) END AS utc_us FROM t5)"""
+
+
 QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found}
 
 SQL = {
@@ -108,6 +145,15 @@ SQL = {
         c AS (SELECT *, sum(fresh) OVER (PARTITION BY tab, src ORDER BY ord, row_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM b),
         stuck AS (SELECT tab, row_id FROM (SELECT tab, row_id, count(*) OVER (PARTITION BY tab, src, run) AS n FROM c) x WHERE n >= 5)
         SELECT tab, row_id FROM far UNION SELECT tab, row_id FROM stuck""",
+    "p2_found": f"WITH {_UTC_SQL} SELECT tab, row_id, min(utc_us) AS utc_us FROM utc WHERE utc_us IS NOT NULL GROUP BY tab, row_id",
+    "p6_found": f"""WITH {_UTC_SQL},
+        trades AS (SELECT 'transactions_csv' AS tab, symbol AS source_key, CAST(make_timestamp(min(utc_us)) AS DATE) AS d, CAST(round(min(value) * 100) AS BIGINT) AS v FROM utc WHERE tab = 'transactions_csv' AND symbol IS NOT NULL GROUP BY row_id, symbol HAVING min(utc_us) IS NOT NULL),
+        rets AS (SELECT 'returns_csv' AS tab, sid AS source_key, min(c0) AS d, CAST(round(min(c1) * 1000000) AS BIGINT) AS v FROM returns_csv WHERE sid IS NOT NULL GROUP BY return_id, sid),
+        daily AS (SELECT tab, source_key, d, coalesce(sum(v), 0) AS v FROM (SELECT * FROM trades UNION ALL SELECT * FROM rets) x GROUP BY 1, 2, 3),
+        cal AS (SELECT tab, source_key, CAST(unnest(generate_series(CAST(min(d) AS TIMESTAMP), CAST(max(d) AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS d FROM daily GROUP BY 1, 2),
+        full_ AS (SELECT cal.tab, cal.source_key, cal.d, coalesce(v, 0) AS v FROM cal LEFT JOIN daily ON daily.tab = cal.tab AND daily.source_key = cal.source_key AND daily.d = cal.d)
+        SELECT tab, source_key, strftime(d, '%Y-%m-%d') AS day, CAST(sum(v) OVER (PARTITION BY tab, source_key ORDER BY d ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS BIGINT) AS total_7,
+          CAST(sum(v) OVER (PARTITION BY tab, source_key ORDER BY d ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) AS BIGINT) AS total_30 FROM full_""",
     "p3_found": """
         WITH joined AS (
           SELECT p.pos_id, l.loading_id, row_number() OVER (PARTITION BY p.pos_id ORDER BY l.dt DESC, l.known_at DESC, l.loading_id DESC) AS k
