@@ -80,6 +80,22 @@ def test_small_inputs(spark):
     assert len(long) == 5 and all(r["in_run"] for r in long.values())
 
 
+def test_lone_reading_has_no_season_of_its_own(spark):
+    """Faulty readings alone, or two, in their weekday are removed, so they do not widen the spread for the others."""
+    rng = random.Random(5)
+    rows = []
+    for s, strays in (("one", [5]), ("two", [5, 12]), ("none", [])):
+        for i in range(400):
+            if i % 7 < 5 or i in strays:
+                x = -900.0 - i if i in strays else 0.3 if i == 100 else rng.gauss(0, 0.01)
+                rows.append((s, len(rows), x, str(i), str(i % 7)))
+    rows += [("short", len(rows) + i, x, str(i), str(i % 7)) for i, x in enumerate([0.01, -0.01, 0.02, 0.0, -0.02, 500.0, 0.01, 5.0, -0.01, 0.03, -0.03, 0.02])]
+    df = spark.createDataFrame(rows, "src string, id long, x double, source string, ord string")
+    out = flag_spikes(df, source="src", order=F.col("source"), row_id="id", value="x", phase=F.col("ord"), phases=7)
+    got = {r["row_id"]: r for r in out.collect()}
+    assert {i for i, r in got.items() if r["far"]} == {i for _, i, x, _, _ in rows if abs(x) > 0.2}
+
+
 def test_esd_masks_nothing():
     """Two far clusters that hide each other from a one-pass test are both removed."""
     far = np.array([0.0, 50.0, 60.0])

@@ -31,7 +31,9 @@ LIMITS = "source string, base double, trend array<double>, season array<double>,
 def polish(n: np.ndarray, block: np.ndarray, phase: np.ndarray, med: np.ndarray, iqr: np.ndarray, blocks: int, phases: int, least: int) -> tuple[float, np.ndarray, np.ndarray, float]:
     """Weighted median polish of one source's cells: base level, trend by block, season by phase, residual scale.
 
-    Neighbouring blocks are pooled until they hold ``least`` readings, so a trend never follows single readings.
+    Neighbouring blocks are pooled until they hold ``least`` readings, so a trend never follows single readings. A phase
+    with fewer than ``least`` readings has no season of its own, and where most cells hold single readings the scale is
+    the middle size of the residuals: a faulty reading neither explains itself nor hides smaller ones.
     """
 
     def middle(v: np.ndarray, w: np.ndarray) -> float:
@@ -49,16 +51,19 @@ def polish(n: np.ndarray, block: np.ndarray, phase: np.ndarray, med: np.ndarray,
     group = pool[block]
     base = middle(med, n)
     rest, trend, season = med - base, np.zeros(g + 1), np.zeros(phases)
+    held_by_phase = np.bincount(phase, weights=n, minlength=phases)
     for _ in range(4):
-        for effect, key in ((trend, group), (season, phase)):
+        for effect, key, ks in ((trend, group, np.unique(group)), (season, phase, np.flatnonzero(held_by_phase >= least))):
             if len(effect) == 1:
                 continue
-            for k in np.unique(key):
+            for k in ks:
                 at = key == k
                 shift = middle(rest[at], n[at])
                 effect[k] += shift
                 rest[at] -= shift
     scale = middle(iqr, n) / 1.349
+    if not scale > 0:
+        scale = middle(np.abs(rest), n) / 0.6745
     if not scale > 0:
         scale = float(np.average(np.abs(rest), weights=n))
     if not scale > 0:
