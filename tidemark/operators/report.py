@@ -144,21 +144,60 @@ def sections(df: DataFrame, sid: object, positions: DataFrame | None = None, tra
     return out
 
 
+def in_order(frame: DataFrame) -> DataFrame:
+    """``frame`` by date, where it has one, then by its other columns; the other tables have a few rows."""
+    if "dt" not in frame.columns:
+        return frame
+    return frame.orderBy("dt", *(c for c, t in frame.dtypes if c != "dt" and "map<" not in t))
+
+
+def write_json(found: dict[str, DataFrame], title: str, output: str) -> None:
+    """Every row of every table, written as it arrives."""
+    with Path(output).open("w") as f:
+        f.write(f'{{"title": {json.dumps(title)}, "sections": {{')
+        for k, (name, frame) in enumerate(found.items()):
+            f.write(f"{', ' if k else ''}{json.dumps(name)}: [")
+            for i, r in enumerate(in_order(frame).toLocalIterator()):
+                f.write((", " if i else "") + json.dumps(r.asDict(), default=str))
+            f.write("]")
+        f.write("}}")
+
+
+def first_rows(frame: DataFrame, most_rows: int, whole: Path) -> tuple[list[dict], int]:
+    """The first rows in order and how many there are; more than ``most_rows`` are all written to ``whole``, one JSON object a line."""
+    rows, n, f = [], 0, None
+    try:
+        for r in in_order(frame).toLocalIterator():
+            n += 1
+            if n <= most_rows:
+                rows.append(r.asDict())
+                continue
+            if f is None:
+                f = whole.open("w")
+                f.writelines(json.dumps(x, default=str) + "\n" for x in rows)
+            f.write(json.dumps(r.asDict(), default=str) + "\n")
+    finally:
+        if f is not None:
+            f.close()
+    return rows, n
+
+
 def strategy_report(df: DataFrame, sid: object, output: str, title: str = "Strategy report", most_rows: int = 5000, **parts: object) -> str:
-    """Writes a self-contained HTML page (or JSON for a .json path) for one series and returns the path. A table brings
-    at most ``most_rows`` rows to the driver; longer ones say so."""
-    found, cut = {}, {}
-    for name, frame in sections(df, sid, **parts).items():
-        rows = [r.asDict() for r in frame.limit(most_rows + 1).collect()]
-        cut[name] = len(rows) > most_rows
-        found[name] = rows[:most_rows]
+    """Writes a self-contained HTML page (or JSON for a .json path) for one series and returns the path. JSON has every
+    row. The page shows a table's first ``most_rows`` rows by date; of a longer one it gives the number of rows and the
+    file beside the page that has them all."""
+    found = sections(df, sid, **parts)
     if output.endswith(".json"):
-        Path(output).write_text(json.dumps({"title": title, "sections": found}, default=str))
+        write_json(found, title, output)
         return output
     if not output.endswith(".html"):
         raise ValueError("output must end with .html or .json; a PDF needs a browser to print the page")
-    stats = {r["stat"]: r["value"] for r in found["Performance"]}
+    shown, body = {}, ""
+    for name, frame in found.items():
+        whole = Path(output).with_suffix(f".{name.lower().replace(' ', '_')}.jsonl")
+        shown[name], n = first_rows(frame, most_rows, whole)
+        body += html_table(shown[name], name + (f" (first {most_rows} of {n} rows; all in {whole.name})" if n > most_rows else ""))
+    stats = {r["stat"]: r["value"] for r in shown["Performance"]}
     summary = f"Risk-adjusted performance is {label(stats.get('sharpe_ratio'), SHARPE_LABELS)}; drawdown risk is {label(stats.get('max_drawdown'), DRAWDOWN_LABELS)}."
-    body = "".join(html_table(r, n + (f" (first {most_rows} rows)" if cut[n] else "")) for n, r in found.items())
     Path(output).write_text(f"<!doctype html><html><head><meta charset='utf-8'><title>{html.escape(title)}</title><style>body{{font:14px sans-serif}}td,th{{padding:2px 8px;text-align:right}}</style></head><body><h1>{html.escape(title)}</h1><p>{html.escape(summary)}</p>{body}</body></html>")
     return output
