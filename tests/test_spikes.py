@@ -96,6 +96,20 @@ def test_lone_reading_has_no_season_of_its_own(spark):
     assert {i for i, r in got.items() if r["far"]} == {i for _, i, x, _, _ in rows if abs(x) > 0.2}
 
 
+def test_readings_without_order(spark):
+    """They are in no run, but the range and spread checks hold for them."""
+    rng = random.Random(6)
+    rows = [("a", k, rng.gauss(0, 0.01), k) for k in range(300)]
+    rows += [("a", 300, -2.0, None), ("a", 301, 0.9, None), ("a", 302, 0.011, None)] + [("a", k, 0.012, None) for k in range(310, 316)]
+    rows += [("no order", k, 5.0 if k == 405 else rng.gauss(0, 0.01), None) for k in range(400, 430)] + [("all bad", 500, -3.0, None)]
+    df = spark.createDataFrame(rows, "src string, id long, x double, day long")
+    out = flag_spikes(df, source="src", order=F.col("day"), row_id="id", value="x", floor=-1.0, phase=(F.col("day") % 7).cast("int"), phases=7)
+    got = {r["row_id"]: r for r in out.collect()}
+    assert {i for i, r in got.items() if r["impossible"]} == {300, 500}
+    assert {i for i, r in got.items() if r["far"]} >= {301, 405}
+    assert {i for i, r in got.items() if r["impossible"] or r["far"] or r["in_run"]} == {300, 301, 405, 500}
+
+
 def test_esd_masks_nothing():
     """Two far clusters that hide each other from a one-pass test are both removed."""
     far = np.array([0.0, 50.0, 60.0])

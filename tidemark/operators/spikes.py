@@ -33,7 +33,8 @@ def polish(n: np.ndarray, block: np.ndarray, phase: np.ndarray, med: np.ndarray,
 
     Neighbouring blocks are pooled until they hold ``least`` readings, so a trend never follows single readings. A phase
     with fewer than ``least`` readings has no season of its own, and where most cells hold single readings the scale is
-    the middle size of the residuals: a faulty reading neither explains itself nor hides smaller ones.
+    the middle size of the residuals: a faulty reading neither explains itself nor hides smaller ones. Block ``blocks``
+    (no order) has no trend and phase ``phases`` (unknown) no season.
     """
 
     def middle(v: np.ndarray, w: np.ndarray) -> float:
@@ -41,20 +42,21 @@ def polish(n: np.ndarray, block: np.ndarray, phase: np.ndarray, med: np.ndarray,
         c = np.cumsum(w[order])
         return float(v[order][np.searchsorted(c, c[-1] / 2.0)])
 
-    per_block = np.bincount(block, weights=n, minlength=blocks)
-    pool, g, held = np.zeros(blocks, dtype=int), 0, 0.0
+    per_block = np.bincount(block, weights=n, minlength=blocks + 1)[:blocks]
+    pool, g, held = np.zeros(blocks + 1, dtype=int), 0, 0.0
     for b in range(blocks):
         pool[b] = g
         held += per_block[b]
         if held >= least and per_block[b + 1 :].sum() >= least:
             g, held = g + 1, 0.0
+    pool[blocks] = g + 1
     group = pool[block]
     base = middle(med, n)
-    rest, trend, season = med - base, np.zeros(g + 1), np.zeros(phases)
-    held_by_phase = np.bincount(phase, weights=n, minlength=phases)
+    rest, trend, season = med - base, np.zeros(g + 2), np.zeros(phases + 1)
+    per_phase = np.bincount(phase, weights=n, minlength=phases + 1)[:phases]
     for _ in range(4):
-        for effect, key, ks in ((trend, group, np.unique(group)), (season, phase, np.flatnonzero(held_by_phase >= least))):
-            if len(effect) == 1:
+        for effect, key, ks in ((trend, group, np.unique(group[block < blocks])), (season, phase, np.flatnonzero(per_phase >= least))):
+            if len(effect) == 2:
                 continue
             for k in ks:
                 at = key == k
@@ -225,7 +227,8 @@ def flag_spikes(
     equal readings. ``order`` is a whole number (or a date's day number) that rises with time; ties go by row_id.
 
     Nulls and NaN are no readings and break no run; rows without source or row_id are left out; copies of a row_id
-    count once. An empty table gives no rows. A source with one reading can only be impossible. Other columns are
+    count once. A reading without order is in no run and has no trend, one without phase no season; all other checks
+    hold for it. An empty table gives no rows. A source with one reading can only be impossible. Other columns are
     ignored, so clashing names do no harm.
     """
     x = F.col(value).cast("double")
@@ -235,13 +238,13 @@ def flag_spikes(
         order.cast("long").alias("ord"),
         (phase.cast("int") if phase is not None else F.lit(0)).alias("phase"),
         F.when(~F.isnan(x), x).alias("x"),
-    ).where("source IS NOT NULL AND row_id IS NOT NULL AND ord IS NOT NULL AND phase IS NOT NULL AND x IS NOT NULL")
+    ).where("source IS NOT NULL AND row_id IS NOT NULL AND x IS NOT NULL")
     readings = materialize(raw.groupBy("source", "row_id").agg(*(F.min(c).alias(c) for c in ("ord", "phase", "x"))), "readings")
     span = readings.agg(F.min("ord"), F.max("ord")).first()
     low, high = (span[0] or 0), (span[1] or 0)
-    block = F.least(F.floor((F.col("ord") - low) * blocks / (high - low + 1)).cast("int"), F.lit(blocks - 1))
+    block = F.when(F.col("ord").isNull(), F.lit(blocks)).otherwise(F.least(F.floor((F.col("ord") - low) * blocks / (high - low + 1)).cast("int"), F.lit(blocks - 1)))
     possible = F.lit(True) if floor is None else F.col("x") > floor
-    parts = readings.withColumn("block", block).withColumn("possible", possible)
+    parts = readings.withColumn("block", block).withColumn("phase", F.coalesce("phase", F.lit(phases))).withColumn("possible", possible)
     found = limits(parts, decompose(parts, blocks, phases, least_in_block), alpha)
     scored = (
         with_residual(parts, found)
@@ -252,5 +255,5 @@ def flag_spikes(
     # a source without any possible reading has no limits; its readings are impossible all the same
     bad = parts.where("NOT possible").select("row_id", F.lit(True).alias("impossible"), F.lit(False).alias("outlying"), F.lit(False).alias("far"), F.lit(False).alias("in_run"))
     no = F.lit(False)
-    runs = constant_runs(readings, F.floor((F.col("ord") - low) / shard_width), run_length).select("row_id", no.alias("impossible"), no.alias("outlying"), no.alias("far"), F.lit(True).alias("in_run"))
+    runs = constant_runs(readings.where("ord IS NOT NULL"), F.floor((F.col("ord") - low) / shard_width), run_length).select("row_id", no.alias("impossible"), no.alias("outlying"), no.alias("far"), F.lit(True).alias("in_run"))
     return single.union(bad).union(runs).groupBy("row_id").agg(*(F.max(c).alias(c) for c in ("impossible", "outlying", "far", "in_run")))
