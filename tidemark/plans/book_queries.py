@@ -107,7 +107,7 @@ QUERIES: dict[str, Query] = {
     "round_trip_stats": lambda s, d: _rounded(T.round_trip_stats(_trips(s, d)), 4),
     "round_trip_stats_by_symbol": lambda s, d: _rounded(T.round_trip_stats_by_symbol(_trips(s, d)), 4),
     "profit_attribution": lambda s, d: _rounded(T.profit_attribution(_trips(s, d)), 6),
-    "closing_transactions": lambda s, d: _rounded(T.closing_transactions(positions(s, d), _brand_trades(s, d)).where("hour(ts) + second(ts) > 0"), 4),
+    "closing_transactions": lambda s, d: _rounded(T.closing_transactions(positions(s, d), _brand_trades(s, d)), 4),
     "factor_exposures": lambda s, d: _rounded(A.compute_exposures(B.normalized_positions(positions(s, d)), _loadings(s, d))),
     "perf_attrib_by_factor": lambda s, d: _rounded(_attrib(s, d)[0]),
     "perf_attrib_daily": lambda s, d: _rounded(_attrib(s, d)[1]),
