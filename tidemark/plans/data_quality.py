@@ -7,26 +7,33 @@ from pyspark.sql import functions as F
 
 from ..operators.asof import attach_as_known
 from ..operators.grid import regular_series
-from ..operators.spikes import flag_spikes
+from ..operators.spikes import flag_readings, readings_of
 from ..operators.timestamps import normalise_times
 from ..operators.trailing import trailing_totals
 from ..sources.tables import table
 
 
+def _flags(spark: SparkSession, sf: str) -> DataFrame:
+    prices = readings_of(table(spark, sf, "transactions_csv"), tab="transactions_csv", source="symbol", order=F.col("txn_id"), row_id="txn_id", value="price")
+    quotes = readings_of(table(spark, sf, "global_index_data"), tab="global_index_data", source="代码", order=F.col("quote_id"), row_id="quote_id", value="涨跌幅")
+    returns = readings_of(table(spark, sf, "returns_csv"), tab="returns_csv", source="sid", order=F.unix_date("c0"), row_id="return_id", value="c1", phase=F.weekday("c0"))
+    rules = {"transactions_csv": (0.0, 1 << 19), "global_index_data": (-100.0, 1 << 19), "returns_csv": (-1.0, 64)}
+    return flag_readings(prices.unionByName(quotes).unionByName(returns), rules)
+
+
 def p1_flags(spark: SparkSession, sf: str) -> DataFrame:
-    """Every suspicious reading with what speaks against it."""
-    prices = flag_spikes(table(spark, sf, "transactions_csv"), source="symbol", order=F.col("txn_id"), row_id="txn_id", value="price", floor=0.0)
-    quotes = flag_spikes(table(spark, sf, "global_index_data"), source="代码", order=F.col("quote_id"), row_id="quote_id", value="涨跌幅", floor=-100.0)
-    returns = flag_spikes(
-        table(spark, sf, "returns_csv"), source="sid", order=F.unix_date("c0"), row_id="return_id", value="c1", floor=-1.0, phase=F.weekday("c0"), phases=7, shard_width=32
-    )
-    parts = [d.select(F.lit(tab).alias("tab"), "*") for tab, d in (("transactions_csv", prices), ("global_index_data", quotes), ("returns_csv", returns))]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    """Every case with what speaks against it."""
+    return _flags(spark, sf).where("impossible OR far OR in_run").drop("outlying")
+
+
+def p1_outlying(spark: SparkSession, sf: str) -> DataFrame:
+    """Readings beyond their source's generalised ESD limit on the residual from trend and season."""
+    return _flags(spark, sf).where("outlying").select("tab", "row_id")
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     """Cases: impossible, far beyond the spread that the ESD test left, or in a constant run."""
-    return p1_flags(spark, sf).where("impossible OR far OR in_run").select("tab", "row_id")
+    return _flags(spark, sf).where("impossible OR far OR in_run").select("tab", "row_id")
 
 
 def _timed(spark: SparkSession, sf: str, tab: str, key: str, text: str, *also: str) -> DataFrame:
@@ -128,23 +135,27 @@ _UTC_SQL = r"""
             WHEN z = '' OR regexp_matches(z, '^[A-Za-z_/]+$') THEN epoch_us(early) END AS utc_us FROM t5)"""
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found}
-
-SQL = {
-    # level and spread by median and median deviation, then mean and deviation of what lies within: another road to the same cases
-    "p1_found": """
-        WITH r AS (
+# Level and spread by median and median deviation, then mean and deviation of what lies within: another road to the same cases.
+_CASES_SQL = """WITH r AS (
           SELECT 'transactions_csv' AS tab, symbol AS src, txn_id AS ord, txn_id AS row_id, min(price) AS x, 0.0 AS least FROM transactions_csv WHERE symbol IS NOT NULL AND price IS NOT NULL GROUP BY symbol, txn_id
           UNION ALL SELECT 'global_index_data', "代码", quote_id, quote_id, min("涨跌幅"), -100.0 FROM global_index_data WHERE "代码" IS NOT NULL AND "涨跌幅" IS NOT NULL GROUP BY "代码", quote_id
           UNION ALL SELECT 'returns_csv', sid, CAST(min(c0) - DATE '1970-01-01' AS BIGINT), return_id, min(c1), -1.0 FROM returns_csv WHERE sid IS NOT NULL AND c1 IS NOT NULL GROUP BY sid, return_id),
         m AS (SELECT tab, src, median(x) AS med FROM r WHERE x > least GROUP BY 1, 2),
         a AS (SELECT r.tab, r.src, m.med, median(abs(x - med)) AS mad FROM r JOIN m ON m.tab = r.tab AND m.src = r.src WHERE x > least GROUP BY 1, 2, 3),
         k AS (SELECT r.tab, r.src, avg(x) AS lvl, stddev_samp(x) AS sd FROM r JOIN a ON a.tab = r.tab AND a.src = r.src WHERE x > least AND abs(x - med) <= 8 * 1.4826 * mad GROUP BY 1, 2),
-        far AS (SELECT r.tab, row_id FROM r LEFT JOIN k ON k.tab = r.tab AND k.src = r.src WHERE x <= least OR abs(x - lvl) > 8 * sd),
+        low AS (SELECT tab, row_id FROM r WHERE x <= least),
+        far AS (SELECT r.tab, row_id FROM r JOIN k ON k.tab = r.tab AND k.src = r.src WHERE abs(x - lvl) > 8 * sd),
         b AS (SELECT *, CASE WHEN x = lag(x) OVER (PARTITION BY tab, src ORDER BY ord, row_id) THEN 0 ELSE 1 END AS fresh FROM r),
         c AS (SELECT *, sum(fresh) OVER (PARTITION BY tab, src ORDER BY ord, row_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM b),
-        stuck AS (SELECT tab, row_id FROM (SELECT tab, row_id, count(*) OVER (PARTITION BY tab, src, run) AS n FROM c) x WHERE n >= 5)
-        SELECT tab, row_id FROM far UNION SELECT tab, row_id FROM stuck""",
+        stuck AS (SELECT tab, row_id FROM (SELECT tab, row_id, count(*) OVER (PARTITION BY tab, src, run) AS n FROM c) x WHERE n >= 5)"""
+
+
+QUERIES = {"p1_found": p1_found, "p1_flags": p1_flags, "p1_outlying": p1_outlying, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found}
+
+SQL = {
+    "p1_found": f"{_CASES_SQL} SELECT tab, row_id FROM far UNION SELECT tab, row_id FROM low UNION SELECT tab, row_id FROM stuck",
+    "p1_flags": f"""{_CASES_SQL}, every AS (SELECT tab, row_id, TRUE AS a, FALSE AS b, FALSE AS c FROM low UNION ALL SELECT tab, row_id, FALSE, TRUE, FALSE FROM far UNION ALL SELECT tab, row_id, FALSE, FALSE, TRUE FROM stuck)
+        SELECT tab, row_id, bool_or(a) AS impossible, bool_or(b) AS far, bool_or(c) AS in_run FROM every GROUP BY tab, row_id""",
     "p2_found": f"WITH {_UTC_SQL} SELECT tab, row_id, min(utc_us) AS utc_us FROM utc WHERE utc_us IS NOT NULL GROUP BY tab, row_id",
     "p6_found": f"""WITH {_UTC_SQL},
         trades AS (SELECT 'transactions_csv' AS tab, symbol AS source_key, CAST(make_timestamp(min(utc_us)) AS DATE) AS d, CAST(round(min(value) * 100) AS BIGINT) AS v FROM utc WHERE tab = 'transactions_csv' AND symbol IS NOT NULL GROUP BY row_id, symbol HAVING min(utc_us) IS NOT NULL),
