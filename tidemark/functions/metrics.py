@@ -12,6 +12,7 @@ import math
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -277,7 +278,12 @@ def kappa_three_ratio(mar: float = 0.0, **_: object) -> Column:
 
 def normal_probability(z: Column) -> Column:
     """Standard normal distribution function."""
-    return F.pandas_udf(lambda x: x.map(lambda v: None if v != v else float(normal_cdf_array([v])[0])), "double")(z)
+    
+    @F.pandas_udf("double")
+    def cdf(x: pd.Series) -> pd.Series:
+        return pd.Series(normal_cdf_array(x.to_numpy(dtype=float)))
+
+    return F.when(z.isNotNull(), cdf(z))
 
 
 @metric()
@@ -546,12 +552,44 @@ def max_single_day_loss_date(**_: object) -> Column:
 # ---- preparation and evaluation
 
 
+def numbered(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Adds ``rn``, the row's number within its series by date. Rows are counted by calendar year and the counts of earlier
+    years added, so a long series is numbered by many tasks."""
+    keys = keys or ["sid"]
+    part = [*keys, "__shard"]
+    inside = df.withColumn("__shard", F.year("dt")).withColumn("rn", F.row_number().over(Window.partitionBy(*part).orderBy("dt")))
+    counts = inside.groupBy(*part).agg(F.max("rn").alias("__c"))
+    before = Window.partitionBy(*keys).orderBy("__shard").rowsBetween(Window.unboundedPreceding, -1)
+    carry = counts.select(*part, F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__n0"))
+    return inside.join(carry, part).withColumn("rn", F.col("rn") + F.col("__n0")).drop("__shard", "__n0")
+
+
+def stretches(df: DataFrame, keys: list[str], hit: Column) -> DataFrame:
+    """The rows where ``hit`` is true, with ``anchor``, the date of the last row before them where it is not (null for none),
+    and ``next_dt``, the date of the series' next row. Rows of one unbroken stretch share their anchor.
+
+    Calendar years are scanned apart and joined through one row per year, so a long series is spread over many tasks."""
+    part = [*keys, "__shard"]
+    order = Window.partitionBy(*part).orderBy("dt")
+    hit = F.coalesce(hit, F.lit(False))
+    inside = df.withColumn("__shard", F.year("dt")).withColumn("__hit", hit)
+    outside = F.max(F.when(~F.col("__hit"), F.col("dt")))
+    inside = inside.withColumn("__a", outside.over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("__next", F.lead("dt").over(order))
+    years = inside.groupBy(*part).agg(outside.alias("a"), F.min("dt").alias("f"))
+    ahead = Window.partitionBy(*keys).orderBy("__shard")
+    carry = years.select(*part, F.max("a").over(ahead.rowsBetween(Window.unboundedPreceding, -1)).alias("a0"), F.lead("f").over(ahead).alias("f1"))
+    joined = inside.where("__hit").join(carry, part)
+    return joined.withColumn("anchor", F.coalesce("__a", "a0")).withColumn("next_dt", F.coalesce("__next", "f1")).drop("__shard", "__hit", "__a", "__next", "a0", "f1")
+
+
 def _dd_runs(nav: DataFrame, keys: list[str]) -> DataFrame:
-    flow = Window.partitionBy(*keys).orderBy("dt").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    under = nav.withColumn("under", F.col("dd1") < -1e-12)
-    fresh = under.withColumn("fresh", F.col("under") & ~F.coalesce(F.lag("under").over(Window.partitionBy(*keys).orderBy("dt")), F.lit(False)))
-    runs = fresh.withColumn("island", F.sum(F.col("fresh").cast("long")).over(flow)).where("under").groupBy(*keys, "island")
-    return runs.agg(F.min("dd1").alias("depth"), F.min("rn").alias("from_rn"), F.max("rn").alias("to_rn"), F.min_by("rn", F.struct(F.round("dd1", 12), "rn")).alias("trough_rn"), F.min("dt").alias("from_dt"), F.max("dt").alias("to_dt"), F.min_by("dt", F.struct(F.round("dd1", 12), "rn")).alias("trough_dt"))
+    """One row per run below the running peak. ``peak_dt`` is the row before it (null for none), ``next_dt`` the row after it."""
+    low = F.struct(F.round("dd1", 12), "rn")
+    runs = stretches(nav.select(*keys, "dt", "rn", "dd1"), keys, F.col("dd1") < -1e-12).groupBy(*keys, F.col("anchor").alias("peak_dt"))
+    return runs.agg(
+        F.min("dd1").alias("depth"), F.min("rn").alias("from_rn"), F.max("rn").alias("to_rn"), F.min_by("rn", low).alias("trough_rn"),
+        F.min("dt").alias("from_dt"), F.max("dt").alias("to_dt"), F.min_by("dt", low).alias("trough_dt"), F.max_by("next_dt", "rn").alias("next_dt"),
+    )
 
 
 def with_nav(df: DataFrame, keys: list[str], shard: Column | None = None) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics as M
 from ..functions.special import t_sf
+from . import series
 
 # Factor sets.
 FACTOR_SETS = {"3factor": ["MKT", "SMB", "HML"], "5factor": ["MKT", "SMB", "HML", "RMW", "CMA"], "4factor_mom": ["MKT", "SMB", "HML", "MOM"]}
@@ -152,31 +153,39 @@ class FamaFrenchModel:
         return j.withColumn("predicted", value).drop("alpha", "betas")
 
     def rolling_exposures(self, df: DataFrame, window: int) -> DataFrame:
-        """sid, dt, alpha and betas over the last ``window`` rows (complete windows)."""
+        """sid, dt, alpha and betas over the complete rows among the last ``window`` (full windows only; null with fewer
+        complete rows than coefficients). Moments come from two pieces of each window, see ``series.window_parts``."""
         cols = ["ret", *self.factors]
-        w = Window.partitionBy("sid").orderBy("dt").rowsBetween(-(window - 1), 0)
-        pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-        sums = [F.count(F.lit(1)).over(w).alias("n"), *(F.sum(c).over(w).alias(f"s_{c}") for c in cols), *(F.sum(F.col(a) * F.col(b)).over(w).alias(f"x_{a}_{b}") for a, b in pairs)]
-        k = len(self.factors) + 1
-        factors = self.factors
+        data = df.select("sid", "dt", *(F.when(~F.isnan(c), F.col(c)).alias(c) for c in cols))
+        ok = F.lit(True)
+        for c in cols:
+            ok = ok & F.col(c).isNotNull()
+        own = {c: F.when(ok, F.col(c)) for c in cols}
+        parts = {"pn": F.count(own["ret"]), **{f"p{i}": F.avg(own[c]) for i, c in enumerate(cols)}}
+        parts |= {f"p{i}_{j}": F.covar_pop(own[cols[i]], own[cols[j]]) for i in range(len(cols)) for j in range(i, len(cols))}
+        held = series.window_parts(series.window_shards(data, window), window, parts).where(F.col("rn") >= window)
+        means = [series._mean("p", str(i)).alias(f"m{i}") for i in range(len(cols))]
+        sums = [series._spread("p", f"{i}_{j}", str(i), str(j)).alias(f"c{i}_{j}") for i in range(len(cols)) for j in range(i, len(cols))]
+        k, factors = len(self.factors), self.factors
 
         def solve(batches):  # noqa: ANN001, ANN202
             for pdf in batches:
-                x, y = np.empty((len(pdf), k, k)), np.empty((len(pdf), k))
-                x[:, 0, 0], y[:, 0] = pdf["n"], pdf["s_ret"]
-                for i, a in enumerate(factors, 1):
-                    x[:, 0, i] = x[:, i, 0] = pdf[f"s_{a}"]
-                    y[:, i] = pdf[f"x_ret_{a}"]
-                    for j, b in enumerate(factors[i - 1 :], i):
-                        x[:, i, j] = x[:, j, i] = pdf[f"x_{a}_{b}"]
+                x, y = np.zeros((len(pdf), k, k)), np.zeros((len(pdf), k))
+                for i in range(1, k + 1):
+                    y[:, i - 1] = pdf[f"c0_{i}"]
+                    for j in range(i, k + 1):
+                        x[:, i - 1, j - 1] = x[:, j - 1, i - 1] = pdf[f"c{i}_{j}"]
                 b = np.einsum("nij,nj->ni", np.linalg.pinv(x), y) if len(pdf) else np.empty((0, k))
+                few = pdf["n"].to_numpy() < k + 1
                 out = pdf[["sid", "dt"]].copy()
-                for i, name in enumerate(["alpha", *factors]):
+                out["alpha"] = pdf["m0"] - sum(b[:, i] * pdf[f"m{i + 1}"].to_numpy() for i in range(k))
+                for i, name in enumerate(factors):
                     out[name] = b[:, i]
+                out.loc[few, ["alpha", *factors]] = None
                 yield out
 
-        schema = f"sid {df.schema['sid'].dataType.simpleString()}, dt date, alpha double, " + ", ".join(f"`{f}` double" for f in factors)
-        return df.select("sid", "dt", *sums).where(F.col("n") == window).mapInPandas(solve, schema)
+        schema = f"sid {df.schema['sid'].dataType.simpleString()}, dt {df.schema['dt'].dataType.simpleString()}, alpha double, " + ", ".join(f"`{f}` double" for f in factors)
+        return held.select("sid", "dt", series._number("p").alias("n"), *means, *sums).mapInPandas(solve, schema)
 
     def decomposition(self, df: DataFrame) -> DataFrame:
         """sid, alpha, contributions (map of beta x mean factor return), factor_return (their sum), unexplained."""

@@ -125,10 +125,7 @@ def top_drawdowns(df: DataFrame, top: int = 10) -> DataFrame:
     A recovered one is cut out of the series; an open one takes everything after its peak with it. That leaves the
     runs below the running peak that lie before the deepest open one, so runs are enough: no series is gathered.
     """
-    nav = M.with_nav(df, ["sid"])
-    runs = M._dd_runs(nav, ["sid"])
-    ends = nav.select("sid", "dt", F.lead("dt").over(Window.partitionBy("sid").orderBy("dt")).alias("next"), F.lag("dt").over(Window.partitionBy("sid").orderBy("dt")).alias("prev"))
-    runs = runs.join(ends.select("sid", F.col("dt").alias("to_dt"), F.col("next").alias("recovery")), ["sid", "to_dt"]).join(ends.select("sid", F.col("dt").alias("from_dt"), F.col("prev").alias("peak")), ["sid", "from_dt"])
+    runs = M._dd_runs(M.with_nav(df, ["sid"]), ["sid"]).withColumnRenamed("peak_dt", "peak").withColumnRenamed("next_dt", "recovery")
     rank = F.row_number().over(Window.partitionBy("sid").orderBy("depth", "from_dt"))
     return runs.withColumn("rank", rank).where(F.col("rank") <= top).select(
         "sid", "rank", (-F.col("depth") * 100).alias("depth_pct"), "peak", F.col("trough_dt").alias("valley"), "recovery",
@@ -158,10 +155,8 @@ def resample(df: DataFrame, level: str) -> DataFrame:
 
 def runs(df: DataFrame, up: bool = True) -> DataFrame:
     """Maximal runs of positive (or negative) returns: sid, length, total, first, last."""
-    w = Window.partitionBy("sid").orderBy("dt")
-    hit = F.coalesce(F.col("ret") > 0 if up else F.col("ret") < 0, F.lit(False))
-    marked = df.withColumn("hit", hit).withColumn("n", F.row_number().over(w)).where("hit").withColumn("g", F.col("n") - F.row_number().over(w))
-    return marked.groupBy("sid", "g").agg(F.count(F.lit(1)).alias("length"), F.sum("ret").alias("total"), F.min("dt").alias("first"), F.max("dt").alias("last")).drop("g")
+    found = M.stretches(df, ["sid"], F.col("ret") > 0 if up else F.col("ret") < 0)
+    return found.groupBy("sid", "anchor").agg(F.count(F.lit(1)).alias("length"), F.sum("ret").alias("total"), F.min("dt").alias("first"), F.max("dt").alias("last")).drop("anchor")
 
 
 def longest_run(df: DataFrame, up: bool = True, level: str = "day") -> DataFrame:
@@ -188,75 +183,132 @@ def consecutive_stats(df: DataFrame) -> DataFrame:
 
 ROLLING = ("sharpe", "volatility", "sortino", "mean_return", "max_drawdown")
 ROLLING_WITH_F = ("beta", "alpha", "mean_alpha", "up_capture", "down_capture", "up_down_capture")
+SHARD_ROWS = 50_000
+
+
+def window_shards(df: DataFrame, window: int, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """``df`` with rn, shard, block and own. Series are cut into shards of about ``shard_rows`` rows, each led by the last
+    ``window`` rows of the one before (own is false there), so every window lies within one shard and a long series is
+    spread over tasks. Blocks hold ``window`` rows: a window is the end of one block and the beginning of the next."""
+    size = window * max(1, -(-shard_rows // window))
+    k = F.col("rn") - 1
+    own = F.floor(k / size)
+    held = M.numbered(df)
+    cut = held.withColumn("shard", F.explode(F.when(F.pmod(k, F.lit(size)) >= size - window, F.array(own, own + 1)).otherwise(F.array(own))))
+    return cut.withColumn("block", F.floor(k / window)).withColumn("own", F.col("shard") == own)
+
+
+def window_parts(cut: DataFrame, window: int, parts: dict[str, Column]) -> DataFrame:
+    """``cut`` (of ``window_shards``) with each aggregate of ``parts`` over both pieces of every row's window: ``a_...`` over its
+    block so far and ``b_...`` over the end of the block before. Nothing is ever subtracted, so nothing cancels."""
+    group = ["sid", "shard"]
+    start = (Window.unboundedPreceding, Window.currentRow)
+    forth, back = (Window.partitionBy(*group, "block").orderBy(o).rowsBetween(*start) for o in ("rn", F.desc("rn")))
+    through = Window.partitionBy(*group).orderBy("block", "rn")
+    tails = cut.select("*", *(v.over(back).alias(f"t_{k}") for k, v in parts.items()))
+    split = F.pmod(F.col("rn") - 1, F.lit(window)) < window - 1
+    both = tails.select(*cut.columns, *(v.over(forth).alias(f"a_{k}") for k, v in parts.items()), *(F.lag(f"t_{k}", window - 1).over(through).alias(f"b_{k}") for k in parts))
+    return both.select(*cut.columns, *(f"a_{k}" for k in parts), *(F.when(split, F.col(f"b_{k}")).alias(f"b_{k}") for k in parts)).where("own")
+
+
+def moments(key: str, x: Column) -> dict[str, Column]:
+    """Aggregates of one column for ``window_parts``: number, mean, variance, extremes."""
+    return {f"{key}n": F.count(x), f"{key}m": F.avg(x), f"{key}q": F.var_pop(x), f"{key}hi": F.max(x), f"{key}lo": F.min(x)}
+
+
+def _whole(k: str) -> tuple[Column, Column]:
+    return F.coalesce(f"a_{k}", F.lit(0.0)), F.coalesce(f"b_{k}", F.lit(0.0))
+
+
+def _number(key: str) -> Column:
+    a, b = _whole(f"{key}n")
+    return a + b
+
+
+def _mean(key: str, of: str = "m") -> Column:
+    (na, nb), (ma, mb) = _whole(f"{key}n"), _whole(f"{key}{of}")
+    return F.try_divide(na * ma + nb * mb, na + nb)
+
+
+def _spread(key: str, sums: str = "q", x: str = "m", y: str = "m") -> Column:
+    """Sum of squared deviations (or products) of both pieces together."""
+    (na, nb), (qa, qb), (xa, xb), (ya, yb) = (_whole(f"{key}{c}") for c in ("n", sums, x, y))
+    return na * qa + nb * qb + (xa - xb) * (ya - yb) * F.coalesce(F.try_divide(na * nb, na + nb), F.lit(0.0))
+
+
+def _constant(key: str, hi: str = "hi", lo: str = "lo") -> Column:
+    return F.greatest(f"a_{key}{hi}", f"b_{key}{hi}") == F.least(f"a_{key}{lo}", f"b_{key}{lo}")
+
+
+def _deviation(key: str) -> Column:
+    n = _number(key)
+    return F.when(n >= 2, F.when(_constant(key), F.lit(0.0)).otherwise(F.sqrt(_spread(key) / (n - 1))))
 
 
 def rolling(df: DataFrame, names: Iterable[str] | str = "all", window: int = 252, risk_free: float = 0.0, period: str = "daily", annualization: float | None = None, full: bool = True) -> DataFrame:
-    """sid, dt and one column per metric over the last ``window`` rows; all metrics share one window.
+    """sid, dt and one column per metric over the last ``window`` rows; all metrics share one pass.
 
     With ``full`` only rows with a complete window come out; without, earlier rows have nulls. Unknown names raise
-    ValueError. Every metric but max_drawdown is arithmetic on running sums and their values ``window`` rows before,
-    so a row costs the same whatever the window; a variance below 1e-12 of the mean square is rounding and counts as 0.
+    ValueError. NaN counts as null; nulls take a place in the window and no part in the sums. A row costs the same
+    whatever the window: each window is put together from the moments of two pieces (see ``window_parts``), and a far
+    reading leaves no trace once it has left the window.
     """
     ann = annualization_factor(period, annualization)
-    known = ROLLING + (ROLLING_WITH_F if "f" in df.columns else ())
+    with_f = "f" in df.columns
+    known = ROLLING + (ROLLING_WITH_F if with_f else ())
     chosen = list(known) if names == "all" else [names] if isinstance(names, str) else list(names)
     if unknown := [n for n in chosen if n not in known]:
         raise ValueError(f"unknown rolling metrics {unknown}; there are {sorted(known)}")
-    order = Window.partitionBy("sid").orderBy("dt")
-    flow = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    data = df.select("sid", "dt", *(F.when(~F.isnan(c), F.col(c)).alias(c) for c in (("ret", "f") if with_f else ("ret",))))
+    cut = window_shards(data, window)
     r = F.col("ret")
-    pair = r.isNotNull() & F.col("f").isNotNull() if "f" in df.columns else F.lit(False)
-    low = F.least(r, F.lit(0.0))
-    parts: dict[str, Column] = {"n": F.when(r.isNotNull(), 1).otherwise(0), "s": F.coalesce(r, F.lit(0.0)), "ss": F.coalesce(r * r, F.lit(0.0))}
+    parts: dict[str, Column] = {}
+    if {"sharpe", "volatility", "sortino", "mean_return"} & set(chosen):
+        parts |= moments("r", r)
     if "sortino" in chosen:
-        parts |= {"l": F.when(r.isNotNull(), low).otherwise(0.0), "ll": F.when(r.isNotNull(), low * low).otherwise(0.0)}
+        parts |= moments("l", F.when(r.isNotNull(), F.least(r, F.lit(0.0))))
     if {"beta", "alpha", "mean_alpha"} & set(chosen):
-        f = F.col("f")
-        parts |= {k: F.when(pair, v).otherwise(0.0) for k, v in (("pn", F.lit(1.0)), ("pr", r), ("pf", f), ("prf", r * f), ("pff", f * f))}
+        pair = r.isNotNull() & F.col("f").isNotNull()
+        y, x = F.when(pair, r), F.when(pair, F.col("f"))
+        parts |= {"pn": F.count(y), "py": F.avg(y), "px": F.avg(x), "pyx": F.covar_pop(y, x), "pxx": F.var_pop(x), "phi": F.max(x), "plo": F.min(x)}
     sides = [("u", F.col("f") > 0)] if {"up_capture", "up_down_capture"} & set(chosen) else []
     sides += [("d", F.col("f") < 0)] if {"down_capture", "up_down_capture"} & set(chosen) else []
     for key, where in sides:
-        parts[f"{key}n"] = F.when(where, 1).otherwise(0)
-        for c in ("ret", "f"):
-            g = 1 + F.col(c)
-            live = where & F.col(c).isNotNull()
-            parts[f"{key}{c}log"] = F.when(live & (g != 0), F.ln(F.abs(g))).otherwise(0.0)
-            parts[f"{key}{c}zero"] = F.when(live & (g == 0), 1).otherwise(0)
-            parts[f"{key}{c}neg"] = F.when(live & (g < 0), 1).otherwise(0)
-    sums = df.select("sid", "dt", *(["f"] if "f" in df.columns else []), "ret", F.row_number().over(order).alias("rn"), *(F.sum(v).over(flow).alias(k) for k, v in parts.items()))
-    inside = sums.select("sid", "dt", "rn", *((F.col(k) - F.coalesce(F.lag(k, window).over(order), F.lit(0))).alias(k) for k in parts))
-
-    def deviation(n: str, s: str, ss: str) -> Column:
-        c, mean_square = F.col(n), F.try_divide(F.col(ss), F.col(n))
-        var = F.try_divide(F.col(ss) - F.col(s) * F.try_divide(F.col(s), c), c - 1)
-        return F.sqrt(F.when(var < 1e-12 * mean_square, 0.0).otherwise(var))
+        parts |= {f"{key}n": F.count(F.when(where, 1)), **{f"{key}{c}": F.product(F.when(where, 1 + F.col(c))) for c in ("ret", "f")}}
 
     def capture(key: str) -> Column:
+        n = _number(key)
+
         def cagr(c: str) -> Column:
-            end = F.exp(F.col(f"{key}{c}log"))
-            lost = (F.col(f"{key}{c}zero") > 0) | (F.col(f"{key}{c}neg") % 2 == 1)
-            return F.when(F.col(f"{key}n") < 1, None).when(lost, -1.0).otherwise(F.pow(end, F.try_divide(F.lit(ann), F.col(f"{key}n"))) - 1)
+            end = F.coalesce(f"a_{key}{c}", F.lit(1.0)) * F.coalesce(f"b_{key}{c}", F.lit(1.0))
+            return F.when(n < 1, None).when(end <= 0, -1.0).otherwise(F.pow(end, F.try_divide(F.lit(ann), n)) - 1)
 
         return F.try_divide(cagr("ret"), cagr("f"))
 
-    mean, sd = F.try_divide("s", "n"), deviation("n", "s", "ss")
-    excess = mean - risk_free
+    def slope() -> Column:
+        n, xx = _number("p"), _spread("p", "xx", "x", "x")
+        return F.when((n >= 2) & ~_constant("p") & (xx / n >= 1e-30), F.try_divide(_spread("p", "yx", "y", "x"), xx))
+
+    def sharpe() -> Column:
+        sd, excess = _deviation("r"), _mean("r") - risk_free
+        return F.when(sd == 0, F.when(excess > 0, M.INF()).when(excess < 0, -M.INF())).otherwise(F.try_divide(excess, sd)) * math.sqrt(ann)
+
     built = {
-        "sharpe": lambda: F.when(sd == 0, F.when(excess > 0, M.INF()).when(excess < 0, -M.INF())).otherwise(F.try_divide(excess, sd)) * math.sqrt(ann),
-        "volatility": lambda: sd * math.sqrt(ann),
-        "sortino": lambda: F.try_divide(mean * math.sqrt(ann), deviation("n", "l", "ll")),
-        "mean_return": lambda: mean * ann,
+        "sharpe": sharpe,
+        "volatility": lambda: _deviation("r") * math.sqrt(ann),
+        "sortino": lambda: F.try_divide(_mean("r") * math.sqrt(ann), _deviation("l")),
+        "mean_return": lambda: _mean("r") * ann,
         "up_capture": lambda: capture("u"),
         "down_capture": lambda: capture("d"),
         "up_down_capture": lambda: F.try_divide(capture("u"), capture("d")),
+        "beta": slope,
+        "mean_alpha": lambda: _mean("p", "y") - slope() * _mean("p", "x"),
+        "alpha": lambda: F.pow(1 + _mean("p", "y") - risk_free - slope() * (_mean("p", "x") - risk_free), F.lit(ann)) - 1,
     }
-    mr, mf = F.try_divide("pr", "pn"), F.try_divide("pf", "pn")
-    vf = F.try_divide("pff", "pn") - mf * mf
-    slope = F.when((F.col("pn") >= 2) & (vf >= 1e-30) & (vf > 1e-12 * F.try_divide("pff", "pn")), F.try_divide(F.try_divide("prf", "pn") - mr * mf, vf))
-    built |= {"beta": lambda: slope, "mean_alpha": lambda: mr - slope * mf, "alpha": lambda: F.pow(1 + mr - risk_free - slope * (mf - risk_free), F.lit(ann)) - 1}
-    ready = inside.select("sid", "dt", "rn", *(built[m]().alias(m) for m in chosen if m != "max_drawdown"))
+    ready = (window_parts(cut, window, parts) if parts else cut.where("own")).select("sid", "dt", "rn", *(built[m]().alias(m) for m in chosen if m != "max_drawdown"))
     if "max_drawdown" in chosen:
-        ready = ready.join(_rolling_drawdown(df, window), ["sid", "dt"], "left")
+        falls = _rolling_drawdown(cut, window)
+        ready = falls if full and chosen == ["max_drawdown"] else ready.join(falls.drop("dt"), ["sid", "rn"], "left")
     if full:
         return ready.where(F.col("rn") >= window).select("sid", "dt", *chosen)
     return ready.select("sid", "dt", *(F.when(F.col("rn") >= window, F.col(m)).alias(m) for m in chosen))
@@ -292,42 +344,34 @@ def window_drawdowns(x: np.ndarray, window: int) -> np.ndarray:
         size *= 2
 
 
-def _rolling_drawdown(df: DataFrame, window: int, shard_rows: int = 100_000) -> DataFrame:
-    """sid, dt, max_drawdown of full windows. A series is cut into shards of ``shard_rows`` rows, each with the rows its
-    first windows reach back to, so a long series is spread over tasks."""
-    rn = F.row_number().over(Window.partitionBy("sid").orderBy("dt")) - 1
-    shard_rows = max(shard_rows, 4 * window)
-    own = F.floor(F.col("rn") / shard_rows)
-    ahead = F.floor((F.col("rn") + window - 1) / shard_rows)
-    cut = df.select("sid", "dt", "ret", rn.alias("rn")).withColumn("shard", F.explode(F.array_distinct(F.array(own, ahead))))
-    kind, day = df.schema["sid"].dataType.simpleString(), df.schema["dt"].dataType.simpleString()
+def _rolling_drawdown(cut: DataFrame, window: int) -> DataFrame:
+    """sid, rn, dt, max_drawdown of full windows, shard by shard."""
+    kind, day = cut.schema["sid"].dataType.simpleString(), cut.schema["dt"].dataType.simpleString()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rn")
-        if len(pdf) < window:
-            return pd.DataFrame({"sid": [], "dt": [], "max_drawdown": []}).astype({"sid": pdf["sid"].dtype, "max_drawdown": float})
-        tail = pdf.iloc[window - 1 :]
-        out = pd.DataFrame({"sid": tail["sid"], "dt": tail["dt"], "max_drawdown": window_drawdowns(pdf["ret"].to_numpy(dtype=float), window)})
-        return out[(tail["rn"] // shard_rows == tail["shard"]).to_numpy()]
+        tail = pdf.iloc[window - 1 :] if len(pdf) >= window else pdf.iloc[:0]
+        fall = window_drawdowns(pdf["ret"].to_numpy(dtype=float), window) if len(tail) else np.zeros(0)
+        return tail[["sid", "rn", "dt"]].assign(max_drawdown=fall)[tail["own"].to_numpy()]
 
-    return cut.groupBy("sid", "shard").applyInPandas(run, f"sid {kind}, dt {day}, max_drawdown double")
+    return cut.select("sid", "shard", "rn", "dt", "ret", "own").groupBy("sid", "shard").applyInPandas(run, f"sid {kind}, rn long, dt {day}, max_drawdown double")
 
 
 def roll(df: DataFrame, function: Callable[..., float], window: int, columns: tuple[str, ...] = ("ret",)) -> DataFrame:
     """sid, dt, value: any Python function of the last ``window`` values of one or two columns, full windows only.
 
-    Windows are collected as arrays and the function runs in Arrow batches. Nulls arrive as NaN."""
-    w = Window.partitionBy("sid").orderBy("dt").rowsBetween(-(window - 1), 0)
-    arrays = [F.collect_list(F.coalesce(F.col(c), F.lit(float("nan")))).over(w).alias(f"a{i}") for i, c in enumerate(columns)]
-    held = df.select("sid", "dt", *arrays).where(F.size("a0") == window)
+    The function sees views of one shard's values; no window is copied. Nulls arrive as NaN."""
+    cut = window_shards(df.select("sid", "dt", *dict.fromkeys(columns)), window)
+    kind, day = df.schema["sid"].dataType.simpleString(), df.schema["dt"].dataType.simpleString()
 
-    def call(batches):  # noqa: ANN001, ANN202
-        for pdf in batches:
-            values = [float(function(*(np.asarray(v) for v in row))) for row in zip(*(pdf[f"a{i}"] for i in range(len(columns))), strict=True)]
-            yield pd.DataFrame({"sid": pdf["sid"], "dt": pdf["dt"], "value": values})
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("rn")
+        tail = pdf.iloc[window - 1 :] if len(pdf) >= window else pdf.iloc[:0]
+        own = tail["own"].to_numpy(dtype=bool)
+        views = [np.lib.stride_tricks.sliding_window_view(pdf[c].to_numpy(dtype=float), window)[own] for c in columns] if len(tail) else [[] for _ in columns]
+        return tail[["sid", "dt"]][own].assign(value=[float(function(*w)) for w in zip(*views, strict=True)])
 
-    kind = df.schema["sid"].dataType.simpleString()
-    return held.mapInPandas(call, f"sid {kind}, dt {df.schema['dt'].dataType.simpleString()}, value double")
+    return cut.groupBy("sid", "shard").applyInPandas(run, f"sid {kind}, dt {day}, value double")
 
 
 def up(df: DataFrame) -> DataFrame:
@@ -374,32 +418,6 @@ def interesting_periods(df: DataFrame, periods: list[tuple[str, str, str]]) -> D
 # ---- statistics that need a whole series at once
 
 
-def _hurst(x: np.ndarray) -> float | None:
-    n = len(x)
-    if n < 8:
-        return None
-    spread = np.ptp(np.cumsum(x - x.mean()))
-    sd = x.std(ddof=1)
-    if sd == 0 or spread == 0:
-        return None
-    top = max(n // 3, 3)
-    lags = np.unique(np.geomspace(2, top, num=30).astype(int)) if top - 1 > 30 else np.arange(2, top + 1)
-    pairs = []
-    for lag in lags:
-        cut = x[: n // lag * lag].reshape(-1, lag)
-        walk = np.cumsum(cut - cut.mean(axis=1, keepdims=True), axis=1)
-        r, s = np.ptp(walk, axis=1), cut.std(axis=1, ddof=1)
-        good = (s > 0) & (r > 0)
-        if good.any():
-            pairs.append((lag, (r[good] / s[good]).mean()))
-    if len(pairs) < 2:
-        h = 0.5 + math.log(spread / sd) / math.log(2.0 * n)
-    else:
-        a, b = np.log(np.array(pairs)).T
-        h = np.polyfit(a, b, 1)[0]
-    return float(min(1.0, max(0.0, h)))
-
-
 def minimum(f: Callable[[float], float], a: float, b: float, tol: float = 1e-10) -> float:
     """Golden-section search for the least value of a unimodal function."""
     g = (math.sqrt(5) - 1) / 2
@@ -446,7 +464,34 @@ def whole_series(df: DataFrame, function: Callable[[np.ndarray], float | None],
 
 
 def hurst_exponent(df: DataFrame) -> DataFrame:
-    return whole_series(df, _hurst, "hurst_exponent")
+    """sid, hurst_exponent: slope of log(R/S) over log(length) in blocks of growing length, between 0 and 1.
+
+    A block's R is the range of its cumulated deviations from its mean, S its sample deviation; the R/S of a length is
+    the mean over the blocks where both are positive. Lengths run from 2 to a third of the series (at least 3): all of
+    them up to 31, else 30 in geometric steps. With fewer than two usable lengths the whole series gives
+    0.5 + log(R/S) / log(2 n); null for fewer than 8 valid returns or without any spread. Every block is a group of its
+    own, so no task holds a series; each row takes part once per length."""
+    valid = M.numbered(df.where("ret IS NOT NULL").select("sid", "dt", "ret"))
+    counts = valid.groupBy("sid").agg(F.count(F.lit(1)).alias("n")).where("n >= 8")
+    top = F.greatest(F.floor(F.col("n") / 3), F.lit(3))
+    # 30 geometric steps; up to 31 all lengths.
+    step = lambda i: F.when(i == 29, top).otherwise(F.floor(2 * F.pow(top / 2, i / 29) + 1e-9))
+    lengths = F.when(top <= 31, F.sequence(F.lit(2).cast("bigint"), top)).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(29)), step)))
+    # a block as long as the series serves the fallback
+    plan = counts.withColumn("lag", F.explode(F.array_append(lengths, F.col("n"))))
+    k = F.col("rn") - 1
+    placed = valid.join(plan, "sid").withColumn("block", F.floor(k / F.col("lag"))).where((F.col("block") + 1) * F.col("lag") <= F.col("n"))
+    group = Window.partitionBy("sid", "lag", "block")
+    held = placed.withColumn("off", F.col("ret") - F.avg("ret").over(group))
+    walk = held.withColumn("walk", F.sum("off").over(group.orderBy("rn").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    blocks = walk.groupBy("sid", "n", "lag", "block").agg((F.max("walk") - F.min("walk")).alias("r"), F.when(F.max("ret") > F.min("ret"), F.stddev_samp("ret")).otherwise(0.0).alias("s"))
+    scale = blocks.where("r > 0 AND s > 0").groupBy("sid", "n", "lag").agg(F.avg(F.col("r") / F.col("s")).alias("rs"))
+    inner = F.col("lag") < F.col("n")
+    x, y = F.when(inner, F.ln("lag")), F.when(inner, F.ln("rs"))
+    fit = scale.groupBy("sid", "n").agg(F.count(x).alias("lags"), F.regr_slope(y, x).alias("slope"), F.max(F.when(~inner, F.col("rs"))).alias("whole"))
+    h = F.when(F.col("lags") >= 2, F.col("slope")).otherwise(0.5 + F.ln("whole") / F.ln(2.0 * F.col("n")))
+    found = fit.where("whole IS NOT NULL").select("sid", F.least(F.greatest(h, F.lit(0.0)), F.lit(1.0)).alias("hurst_exponent"))
+    return df.select("sid").distinct().join(found, "sid", "left")
 
 
 def stutzer_index(df: DataFrame, target_return: float = 0.0) -> DataFrame:

@@ -56,7 +56,8 @@ QUERIES: dict[str, Query] = {
     "roll_beta": _on(lambda r: S.rolling(r, "beta", W)),
     "roll_alpha_beta": _on(lambda r: S.rolling(r, ["alpha", "beta"], W)),
     "roll_captures": _on(lambda r: S.rolling(r, ["up_capture", "down_capture"], W)),
-    "roll_up_down_capture": lambda spark, sf: _rounded(S.rolling(returns(spark, sf), "up_down_capture", W), 1),
+    # a ratio of captures near zero runs into the thousands, so fewer decimals are significant
+    "roll_up_down_capture": lambda spark, sf: _rounded(S.rolling(returns(spark, sf), "up_down_capture", W), 3),
     "rolling_regression": _on(lambda r: S.rolling(r, ["mean_alpha", "beta"], W)),
     "rolling_volatility": _on(lambda r: S.rolling(r, "volatility", W, full=False)),
     "roll_max_drawdown": _on(lambda r: S.rolling(r, "max_drawdown", 20)),
@@ -137,7 +138,7 @@ SQL: dict[str, str] = {
     "roll_alpha_beta": _roll_sql(alpha=f"pow(1 + avg(ret) OVER w - ({_B}) * avg(f) OVER w, 252) - 1", beta=_B),
     "rolling_regression": _roll_sql(mean_alpha=f"avg(ret) OVER w - ({_B}) * avg(f) OVER w", beta=_B),
     "roll_captures": _roll_sql(up_capture=_UC, down_capture=_DC),
-    "roll_up_down_capture": _roll_sql(1, up_down_capture=f"({_UC}) / nullif({_DC}, 0)"),
+    "roll_up_down_capture": _roll_sql(3, up_down_capture=f"({_UC}) / nullif({_DC}, 0)"),
     "roll_max_drawdown": f"""WITH {R_SQL}, K AS (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY dt) AS k FROM R),
       J AS (SELECT a.sid, a.k, a.dt, b.k AS j, product(1 + b.ret) OVER (PARTITION BY a.sid, a.k ORDER BY b.k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c FROM K a JOIN K b ON b.sid = a.sid AND b.k BETWEEN a.k - 19 AND a.k WHERE a.k >= 20),
       D AS (SELECT sid, k, dt, c / greatest(1, max(c) OVER (PARTITION BY sid, k ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) - 1 AS d FROM J)
