@@ -168,9 +168,10 @@ def number_runs(readings: DataFrame, keys: list[str]) -> DataFrame:
     """``readings`` (keys, shard, ord, row_id, x) with ``run``, the number of its run of equal values within its shard, and
     ``first``/``last``, whether it stands at the shard's edge. A reading unlike both neighbours is in no run (null),
     unless it stands at an edge; so is one without order."""
-    here = Window.partitionBy(*keys, "shard", F.col("ord").isNull()).orderBy("ord", "row_id")
+    # a column, not an expression: both windows then share one exchange
+    here = Window.partitionBy(*keys, "shard", "loose").orderBy("ord", "row_id")
     before, after = F.lag("x").over(here), F.lead("x").over(here)
-    seen = readings.withColumn("before", before).withColumn("after", after)
+    seen = readings.withColumn("loose", F.col("ord").isNull()).withColumn("before", before).withColumn("after", after)
     fresh = F.coalesce(F.col("x") != F.col("before"), F.lit(True)).cast("long")
     run = F.sum(fresh).over(here.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     near = F.expr("ord IS NOT NULL AND (before IS NULL OR after IS NULL OR x = before OR x = after)")
