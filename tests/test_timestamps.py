@@ -1,12 +1,13 @@
 from datetime import datetime, timedelta, timezone
 from zoneinfo import ZoneInfo
 
+import numpy as np
 import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tidemark.operators.timestamps import instants, mask, normalise_times, parser_for, tidy, zone_tables
+from tidemark.operators.timestamps import instants, mask, masks, normalise_times, parser_for, tidy, zone_tables
 
 ZONES = ["America/New_York", "Europe/London", "Asia/Kolkata", "Australia/Sydney", "America/St_Johns", "UTC"]
 TABLES = zone_tables(ZONES)
@@ -100,3 +101,28 @@ def test_frame(spark):
     assert got == {1: us(2021, 7, 1, 16), 2: None, 3: None, 4: 1609742875 * 10**6, 5: None}
     out = normalise_times(df.limit(0), "text", "feed", feeds)
     assert out.count() == 0 and out.columns == ["id", "text", "feed", "tz", "utc_us"]
+
+
+TEXTS = ["2021-01-04 10:12:34", " 2021-01-04 10:12:34\t", "２０２１-01-04 10：12：34", "a\U0001f600b", "　x ", "", "  ", None, "1609742875", "年" * 3, "Z" * 70, "4 Jan 2021 10:12:34 +0000"]
+
+
+def test_masks_of_a_batch_are_those_of_each_text():
+    """The vectorised masks are ``mask(tidy(text))``, each row once, blanks and nulls under none."""
+    got = {}
+    for rows, chars, shape in masks(np.array(TEXTS * 3, dtype=object)):
+        for r, c in zip(rows, chars, strict=True):
+            assert r not in got
+            got[int(r)] = ("".join(map(chr, c)), shape)
+    assert got == {i: (tidy(t), mask(tidy(t))) for i, t in enumerate(TEXTS * 3) if t and tidy(t)}
+    assert list(masks(np.array([], dtype=object))) == []
+
+
+@pytest.mark.parametrize("name", ["Europe/Berlin", "America/New_York", "Australia/Sydney", "America/St_Johns"])
+def test_rules_go_on_for_ever(name):
+    """Far years follow the zone's rules; so do the years before its first transition."""
+    tables = zone_tables([name])
+    for year in (1850, 1890, 2099, 2100, 2101, 2150, 2400, 2501, 2502, 2999, 9998):
+        for month in (1, 4, 7, 10, 12):
+            wall = datetime(year, month, 1, 12)
+            v = instants(pd.Series([wall.strftime("%Y-%m-%d %H:%M:%S").rjust(19, "0")]), pd.Series([name]), pd.Series([True]), tables)[0]
+            assert v == int(wall.replace(tzinfo=ZoneInfo(name)).timestamp()) * 1_000_000, (year, month)

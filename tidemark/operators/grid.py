@@ -12,14 +12,14 @@ from pyspark.sql import functions as F
 
 
 def regular_series(readings: DataFrame, info: DataFrame, *, shard_weeks: int = 13) -> DataFrame:
-    """One row per expected slot: tab, source_key, slot (DATE), value, filled, missing.
+    """One row per expected slot: tab, source_key, slot (DATE), value, filled, filled_from, missing.
 
     ``readings``: tab, source_key, date, value, seen_at (any order, copies welcome). ``info``: tab, source_key,
     cadence (daily or weekly), start_dt, end_dt. Daily slots are Mondays to Fridays, weekly slots the Fridays within the
     span. A weekly reading of any day of a Monday-to-Sunday week belongs to that week's Friday; weekend readings
     belong to no daily slot. Of several readings of a slot the one with the latest date, then the latest arrival, then
     the greatest value is taken. ``filled`` is the value or else the last earlier one of the series' span (null before
-    the first). Null or NaN values are no readings. Series with a null bound or another cadence have no slots;
+    the first), ``filled_from`` the slot that it comes from; a slot that is not filled from itself is ``missing``. Null or NaN values are no readings. Series with a null bound or another cadence have no slots;
     readings of series without info are left out; an empty table of readings leaves every slot missing.
     """
     value = F.col("value").cast("double")
@@ -48,25 +48,20 @@ def regular_series(readings: DataFrame, info: DataFrame, *, shard_weeks: int = 1
         .select("tab", "source_key", F.col("day").alias("slot"), shard_of(F.col("day")).alias("shard"))
     )
     # first and last reading of each shard; the scan over a series' shards gives each its carry-in
-    summary = slots.groupBy("tab", "source_key", "shard").agg(F.min(F.struct("slot", "value")).alias("first"), F.max(F.struct("slot", "value")).alias("last"))
+    reading = F.struct("slot", "value")
+    summary = slots.groupBy("tab", "source_key", "shard").agg(F.min(reading).alias("first"), F.max(reading).alias("last"))
     shards = grid.select("tab", "source_key", "shard").distinct()
     earlier = Window.partitionBy("tab", "source_key").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     carry = (
         shards.join(summary, ["tab", "source_key", "shard"], "left")
-        .withColumn("carry", F.last(F.col("last.value"), ignorenulls=True).over(earlier))
+        .withColumn("carry", F.last("last", ignorenulls=True).over(earlier))
         .select("tab", "source_key", "shard", "carry", F.col("first.slot").alias("first_slot"))
     )
     here = Window.partitionBy("tab", "source_key", "shard").orderBy("slot").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     filled = (
         grid.join(slots, ["tab", "source_key", "shard", "slot"], "left")
         .join(carry, ["tab", "source_key", "shard"], "left")
-        .withColumn("inside", F.last("value", ignorenulls=True).over(here))
-    )
-    return filled.select(
-        "tab",
-        "source_key",
-        "slot",
-        "value",
-        F.when(F.col("first_slot").isNull() | (F.col("slot") < F.col("first_slot")), F.col("carry")).otherwise(F.col("inside")).alias("filled"),
-        F.col("value").isNull().alias("missing"),
+        .withColumn("inside", F.last(F.when(F.col("value").isNotNull(), reading), ignorenulls=True).over(here))
+        .withColumn("by", F.when(F.col("first_slot").isNull() | (F.col("slot") < F.col("first_slot")), F.col("carry")).otherwise(F.col("inside")))
     )
+    return filled.select("tab", "source_key", "slot", "value", F.col("by.value").alias("filled"), F.col("by.slot").alias("filled_from"), (~F.col("by.slot").eqNullSafe(F.col("slot"))).alias("missing"))

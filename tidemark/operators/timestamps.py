@@ -1,7 +1,9 @@
 """Mixed time notations to UTC instants.
 
-A text is reduced to its character-class mask (digits to 9, letters to a); each distinct mask is mapped to a parser
-once per worker, and all texts of one mask are converted together as a matrix of characters. Wall-clock times go
+A batch of texts becomes one array of characters, in which blanks and full-width forms are dealt with and every
+character is reduced to its class (digits to 9, letters to a). Texts of one length are a matrix; equal rows of classes
+are one mask. Each distinct mask is mapped to a parser once per worker, and all texts of one mask are converted
+together. Wall-clock times go
 through transition tables of their zone, built on the driver from one version of the zone database and shipped with
 the function, so that all executors convert alike.
 """
@@ -10,7 +12,7 @@ from __future__ import annotations
 
 import re
 import zoneinfo
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from datetime import UTC, datetime, timedelta
 from functools import lru_cache
@@ -72,22 +74,29 @@ def zone_version() -> str:
         return "unknown"
 
 
+# The Gregorian calendar repeats after 400 years (a whole number of weeks), and so do the rules of every zone.
+_CYCLE = 146_097 * 86_400
+_FIRST, _AHEAD, _LAST = (int(datetime(y, 1, 1, tzinfo=UTC).timestamp()) for y in (1800, 2101, 2502))
+
+
 @lru_cache(maxsize=1024)
 def zone_table(name: str, version: str) -> Zone | None:
-    """The table of a zone for 1900 to 2100 (times outside take the nearest rule), or None for an unknown name."""
+    """The table of a zone from 1800, before its first transition, to 2501; later times repeat the last 400 years of it
+    (``to_instant``). None for an unknown name."""
     try:
         zone = zoneinfo.ZoneInfo(name)
     except (ValueError, OSError, zoneinfo.ZoneInfoNotFoundError):
         return None
+    epoch = datetime(1970, 1, 1, tzinfo=UTC)
 
     def at(s: int) -> tuple[int, str]:
-        t = (datetime(1970, 1, 1, tzinfo=UTC) + timedelta(seconds=s)).astimezone(zone)
+        t = (epoch + timedelta(seconds=s)).astimezone(zone)
         return int(t.utcoffset().total_seconds()), t.tzname()
 
-    step, s, end = 7 * 86_400, int(datetime(1900, 1, 1, tzinfo=UTC).timestamp()), int(datetime(2100, 1, 1, tzinfo=UTC).timestamp())
+    step, s = 7 * 86_400, _FIRST
     now = at(s)
     starts, kinds = [], [now]
-    while s < end:
+    while s < _LAST:
         if (then := at(s + step)) != now:
             lo, hi = s, s + step
             while hi - lo > 1:
@@ -110,8 +119,11 @@ def zone_tables(names: list[str]) -> dict[str, Zone]:
 def to_instant(wall: np.ndarray, zone: Zone, abbr: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """UTC seconds of wall-clock seconds, and which of them exist.
 
-    Twice-occurring times give the earlier instant unless ``abbr`` is the abbreviation of the later one only.
+    Twice-occurring times give the earlier instant unless ``abbr`` is the abbreviation of the later one only. Times from
+    2501 on are looked up whole cycles of 400 years earlier.
     """
+    cycles = np.maximum((wall - _AHEAD) // _CYCLE, 0)
+    wall = wall - cycles * _CYCLE
     before = np.searchsorted(zone.starts, wall - 16 * 3600, side="right")
     after = np.searchsorted(zone.starts, wall + 16 * 3600, side="right")
     first = np.full(len(wall), np.iinfo(np.int64).max)
@@ -129,7 +141,7 @@ def to_instant(wall: np.ndarray, zone: Zone, abbr: np.ndarray | None) -> tuple[n
         i = np.flatnonzero(twice)
         names = lambda u: zone.names[np.searchsorted(zone.starts, u[i], side="right")]
         out[i] = np.where((abbr[i] == names(last)) & (abbr[i] != names(first)), last[i], first[i])
-    return out, exists
+    return np.where(exists, out + cycles * _CYCLE, out), exists
 
 
 def _days(y: np.ndarray, m: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -228,23 +240,63 @@ def _text(c: np.ndarray, span: tuple[int, int]) -> np.ndarray:
     return part.view(f"U{span[1] - span[0]}").ravel()
 
 
+@lru_cache(maxsize=1)
+def _character_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For code points below 0x10000: itself without full width, whether it is blank, and its class."""
+    narrow = np.arange(0x10000, dtype=np.uint32)
+    for c, to in _NARROW.items():
+        narrow[c] = to
+    blank = np.array([chr(c).isspace() for c in range(0x10000)])[narrow]
+    kind = narrow.copy()
+    for c, to in _CLASSES.items():
+        kind[c] = ord(to)
+    return narrow, blank, kind
+
+
+def masks(texts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, str]]:
+    """(row numbers, their characters as a matrix, mask) for each distinct mask; null and blank texts come under none.
+
+    Same as ``tidy`` and ``mask`` of each text, for all texts at once."""
+    narrow, blank, kind = _character_tables()
+    rows = np.flatnonzero(~pd.isna(texts))
+    held = texts[rows].tolist()
+    ends = np.cumsum(np.fromiter(map(len, held), dtype=np.int64, count=len(held)))
+    cp = np.frombuffer("".join(held).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    small = np.minimum(cp, 0xFFFF)
+    solid = np.flatnonzero(~blank[small])
+    cp = np.where(cp < 0x10000, narrow[small], cp)
+    starts = np.append(0, ends[:-1]) if len(ends) else ends
+    lo, hi = np.searchsorted(solid, starts), np.searchsorted(solid, ends)
+    some = np.flatnonzero(hi > lo)
+    start, length = solid[lo[some]], solid[hi[some] - 1] + 1 - solid[lo[some]]
+    with np.errstate(over="ignore"):
+        for size in np.unique(length):
+            own = np.flatnonzero(length == size)
+            c = cp[start[own][:, None] + np.arange(size)]
+            classes = np.where(c < 0x10000, kind[np.minimum(c, 0xFFFF)], c)
+            odd = (np.arange(size, dtype=np.uint64) * np.uint64(2) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+            h = ((classes.astype(np.uint64) + np.uint64(1)) * (odd ^ (odd >> np.uint64(29)))).sum(axis=1, dtype=np.uint64)
+            left = np.arange(len(own))
+            while len(left):  # once, unless two masks share a hash
+                _, at, code = np.unique(h[left], return_index=True, return_inverse=True)
+                same = (classes[left] == classes[left[at]][code]).all(axis=1)
+                order = np.argsort(code[same], kind="stable")
+                bounds = np.searchsorted(code[same][order], np.arange(len(at) + 1))
+                for k, one in enumerate(at):
+                    pick = left[same][order[bounds[k] : bounds[k + 1]]]
+                    yield rows[some[own[pick]]], c[pick], "".join(map(chr, classes[left[one]]))
+                left = left[~same]
+
+
 def instants(texts: pd.Series, zones: pd.Series, day_first: pd.Series, tables: dict[str, Zone]) -> pd.Series:
     """UTC microseconds of each text, null where it gives no instant."""
     out = np.zeros(len(texts), dtype=np.int64)
     good = np.zeros(len(texts), dtype=bool)
-    rows = np.flatnonzero(texts.notna().to_numpy())
-    clean = [tidy(t) for t in texts.to_numpy()[rows]]
-    codes, shapes = pd.factorize(np.array([mask(t) for t in clean], dtype=object)) if clean else (np.array([], dtype=int), [])
     first = day_first.map({True: 1, False: 0}).fillna(-1).to_numpy().astype(np.int64)
     zone_of, zone_names = pd.factorize(zones)
-    order = np.argsort(codes, kind="stable")
-    bounds = np.searchsorted(codes[order], np.arange(len(shapes) + 1))
-    for k, shape in enumerate(shapes):
+    for i, c, shape in masks(texts.to_numpy(dtype=object)):
         if (parse := parser_for(shape)) is None:
             continue
-        own = order[bounds[k] : bounds[k + 1]]
-        i = rows[own]
-        c = np.array([clean[j] for j in own], dtype=f"U{len(shape)}").view(np.uint32).reshape(len(own), len(shape))
         us, ok, offset, abbr = parse(c, first[i])
         if offset is not None:
             us = us - offset * 1_000_000

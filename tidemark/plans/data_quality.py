@@ -71,6 +71,12 @@ def p5_series(spark: SparkSession, sf: str) -> DataFrame:
     return regular_series(returns.unionByName(factors), table(spark, sf, "series_info"))
 
 
+def p5_grid(spark: SparkSession, sf: str) -> DataFrame:
+    """Every slot with its value, what fills it and from where."""
+    day = lambda c: F.date_format(c, "yyyy-MM-dd").alias(c)
+    return p5_series(spark, sf).select("tab", "source_key", day("slot"), "value", "filled", day("filled_from"), "missing")
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return p5_series(spark, sf).where("missing").select("tab", "source_key", F.date_format("slot", "yyyy-MM-dd").alias("slot"))
 
@@ -94,6 +100,11 @@ def p6_totals(spark: SparkSession, sf: str) -> DataFrame:
     return trailing_totals(trades.unionByName(returns))
 
 
+def p6_averages(spark: SparkSession, sf: str) -> DataFrame:
+    """Daily means over the last 7 and 30 days, in cents and millionths."""
+    return p6_totals(spark, sf).select("tab", "source_key", F.date_format("day", "yyyy-MM-dd").alias("day"), F.round(F.col("average_7") + 3.7e-8, 4).alias("average_7"), F.round(F.col("average_30") + 3.7e-8, 4).alias("average_30"))
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return p6_totals(spark, sf).select("tab", "source_key", F.date_format("day", "yyyy-MM-dd").alias("day"), "total_7", "total_30")
 
@@ -150,21 +161,25 @@ _CASES_SQL = """WITH r AS (
         stuck AS (SELECT tab, row_id FROM (SELECT tab, row_id, count(*) OVER (PARTITION BY tab, src, run) AS n FROM c) x WHERE n >= 5)"""
 
 
-QUERIES = {"p1_found": p1_found, "p1_flags": p1_flags, "p1_outlying": p1_outlying, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p6_found": p6_found}
+_SUMS_SQL = f"""WITH {_UTC_SQL},
+        trades AS (SELECT 'transactions_csv' AS tab, symbol AS source_key, CAST(make_timestamp(min(utc_us)) AS DATE) AS d, CAST(round(min(value) * 100) AS BIGINT) AS v FROM utc WHERE tab = 'transactions_csv' AND symbol IS NOT NULL GROUP BY row_id, symbol HAVING min(utc_us) IS NOT NULL),
+        rets AS (SELECT 'returns_csv' AS tab, sid AS source_key, min(c0) AS d, CAST(round(min(c1) * 1000000) AS BIGINT) AS v FROM returns_csv WHERE sid IS NOT NULL GROUP BY return_id, sid),
+        daily AS (SELECT tab, source_key, d, coalesce(sum(v), 0) AS v FROM (SELECT * FROM trades UNION ALL SELECT * FROM rets) x GROUP BY 1, 2, 3),
+        cal AS (SELECT tab, source_key, CAST(unnest(generate_series(CAST(min(d) AS TIMESTAMP), CAST(max(d) AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS d FROM daily GROUP BY 1, 2),
+        full_ AS (SELECT cal.tab, cal.source_key, cal.d, coalesce(v, 0) AS v FROM cal LEFT JOIN daily ON daily.tab = cal.tab AND daily.source_key = cal.source_key AND daily.d = cal.d),
+        sums AS (SELECT tab, source_key, strftime(d, '%Y-%m-%d') AS day, sum(v) OVER (PARTITION BY tab, source_key ORDER BY d ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS t7,
+          sum(v) OVER (PARTITION BY tab, source_key ORDER BY d ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) AS t30 FROM full_)"""
+
+
+QUERIES = {"p1_found": p1_found, "p1_flags": p1_flags, "p1_outlying": p1_outlying, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p5_grid": p5_grid, "p6_found": p6_found, "p6_averages": p6_averages}
 
 SQL = {
     "p1_found": f"{_CASES_SQL} SELECT tab, row_id FROM far UNION SELECT tab, row_id FROM low UNION SELECT tab, row_id FROM stuck",
     "p1_flags": f"""{_CASES_SQL}, every AS (SELECT tab, row_id, TRUE AS a, FALSE AS b, FALSE AS c FROM low UNION ALL SELECT tab, row_id, FALSE, TRUE, FALSE FROM far UNION ALL SELECT tab, row_id, FALSE, FALSE, TRUE FROM stuck)
         SELECT tab, row_id, bool_or(a) AS impossible, bool_or(b) AS far, bool_or(c) AS in_run FROM every GROUP BY tab, row_id""",
     "p2_found": f"WITH {_UTC_SQL} SELECT tab, row_id, min(utc_us) AS utc_us FROM utc WHERE utc_us IS NOT NULL GROUP BY tab, row_id",
-    "p6_found": f"""WITH {_UTC_SQL},
-        trades AS (SELECT 'transactions_csv' AS tab, symbol AS source_key, CAST(make_timestamp(min(utc_us)) AS DATE) AS d, CAST(round(min(value) * 100) AS BIGINT) AS v FROM utc WHERE tab = 'transactions_csv' AND symbol IS NOT NULL GROUP BY row_id, symbol HAVING min(utc_us) IS NOT NULL),
-        rets AS (SELECT 'returns_csv' AS tab, sid AS source_key, min(c0) AS d, CAST(round(min(c1) * 1000000) AS BIGINT) AS v FROM returns_csv WHERE sid IS NOT NULL GROUP BY return_id, sid),
-        daily AS (SELECT tab, source_key, d, coalesce(sum(v), 0) AS v FROM (SELECT * FROM trades UNION ALL SELECT * FROM rets) x GROUP BY 1, 2, 3),
-        cal AS (SELECT tab, source_key, CAST(unnest(generate_series(CAST(min(d) AS TIMESTAMP), CAST(max(d) AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS d FROM daily GROUP BY 1, 2),
-        full_ AS (SELECT cal.tab, cal.source_key, cal.d, coalesce(v, 0) AS v FROM cal LEFT JOIN daily ON daily.tab = cal.tab AND daily.source_key = cal.source_key AND daily.d = cal.d)
-        SELECT tab, source_key, strftime(d, '%Y-%m-%d') AS day, CAST(sum(v) OVER (PARTITION BY tab, source_key ORDER BY d ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS BIGINT) AS total_7,
-          CAST(sum(v) OVER (PARTITION BY tab, source_key ORDER BY d ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) AS BIGINT) AS total_30 FROM full_""",
+    "p6_found": f"{_SUMS_SQL} SELECT tab, source_key, day, CAST(t7 AS BIGINT) AS total_7, CAST(t30 AS BIGINT) AS total_30 FROM sums",
+    "p6_averages": f"{_SUMS_SQL} SELECT tab, source_key, day, round(t7 / 7.0 + 3.7e-8, 4) AS average_7, round(t30 / 30.0 + 3.7e-8, 4) AS average_30 FROM sums",
     "p3_found": """
         WITH joined AS (
           SELECT p.pos_id, l.loading_id, row_number() OVER (PARTITION BY p.pos_id ORDER BY l.dt DESC, l.known_at DESC, l.loading_id DESC) AS k
@@ -186,4 +201,15 @@ SQL = {
           FROM readings r JOIN info i ON i.tab = r.tab AND i.source_key = r.source_key)
         SELECT s.tab, s.source_key, strftime(s.slot, '%Y-%m-%d') AS slot
         FROM slots s WHERE NOT EXISTS (SELECT 1 FROM held h WHERE h.tab = s.tab AND h.source_key = s.source_key AND h.slot = s.slot)""",
+    "p5_grid": """
+        WITH readings AS (
+          SELECT 'returns_csv' AS tab, sid AS source_key, c0 AS d, c1 AS v, loaded_at AS seen FROM returns_csv WHERE c1 IS NOT NULL AND NOT isnan(c1)
+          UNION ALL SELECT 'factor_returns', model, dt, materials, loaded_at FROM factor_returns WHERE materials IS NOT NULL AND NOT isnan(materials)),
+        slots AS (SELECT tab, source_key, cadence, CAST(d AS DATE) AS slot FROM (SELECT *, unnest(generate_series(CAST(start_dt AS TIMESTAMP), CAST(end_dt AS TIMESTAMP), INTERVAL 1 DAY)) AS d FROM series_info) x
+          WHERE (cadence = 'weekly' AND isodow(CAST(d AS DATE)) = 5) OR (cadence = 'daily' AND isodow(CAST(d AS DATE)) <= 5)),
+        placed AS (SELECT r.*, CASE WHEN i.cadence = 'weekly' THEN CAST(r.d - CAST(isodow(r.d) - 5 AS INTEGER) AS DATE) WHEN isodow(r.d) <= 5 THEN r.d END AS slot FROM readings r JOIN series_info i ON i.tab = r.tab AND i.source_key = r.source_key),
+        best AS (SELECT tab, source_key, slot, v FROM (SELECT *, row_number() OVER (PARTITION BY tab, source_key, slot ORDER BY d DESC, seen DESC NULLS LAST, v DESC) AS k FROM placed WHERE slot IS NOT NULL) x WHERE k = 1),
+        j AS (SELECT s.tab, s.source_key, s.slot, b.v, CASE WHEN b.v IS NOT NULL THEN s.slot END AS own FROM slots s LEFT JOIN best b ON b.tab = s.tab AND b.source_key = s.source_key AND b.slot = s.slot)
+        SELECT tab, source_key, strftime(slot, '%Y-%m-%d') AS slot, v AS value, last_value(v IGNORE NULLS) OVER w AS filled, strftime(last_value(own IGNORE NULLS) OVER w, '%Y-%m-%d') AS filled_from, v IS NULL AS missing
+        FROM j WINDOW w AS (PARTITION BY tab, source_key ORDER BY slot ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
 }
