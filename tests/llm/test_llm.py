@@ -70,9 +70,48 @@ def test_leaks_against_brute_force(spark):
     got = leaked_passages(spark.createDataFrame(docs, "doc_id long, text string").withColumn("item_id", F.lit("clash")), spark.createDataFrame(items, "item_id long, passage string"))
     exact = {(r["doc_id"], r["item_id"]) for r in got.where("exact").collect()}
     assert exact == _leaks(docs, items) and (502, 32) in exact and (503, 32) not in exact
-    # blocks of passages change nothing
-    blocks = leaked_passages(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, passage string"), block_chars=200)
-    assert {(r["doc_id"], r["item_id"]) for r in blocks.where("exact").collect()} == exact
+    # a small filter and short pieces change nothing
+    small = leaked_passages(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, passage string"), most_bits=1, piece=1, most_chars=3_000)
+    assert {(r["doc_id"], r["item_id"]) for r in small.where("exact").collect()} == exact
+
+
+def _near(text, window, k):
+    """Whether ``window`` stands somewhere in ``text`` with at most ``k`` edits (Sellers)."""
+    row = list(range(len(window) + 1))
+    for c in text:
+        last, row = row, [0] * (len(window) + 1)
+        for j, w in enumerate(window, 1):
+            row[j] = min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (c != w))
+        if row[-1] <= k:
+            return True
+    return False
+
+
+@pytest.mark.parametrize("edits", [1, 2])
+def test_near_matches_against_brute_force(spark, edits):
+    """Recall and precision of near matches are 1: planted windows with 0 to 3 random edits, shared first sentences."""
+    rng = random.Random(7)
+    start = "every one of these begins with the same rather long sentence of words "
+    items = [(i, (start if i % 3 == 0 else "") + " ".join(rng.choice(VOCAB) for _ in range(14))) for i in range(9)]
+    flat = lambda t: " ".join(WORD.findall(t.lower()))
+    docs = []
+    for d in range(60):
+        words = items[rng.randrange(9)][1].split()
+        a = rng.randrange(max(1, len(words) - 12))
+        cut = list(" ".join(words[a : a + 12]))
+        for _ in range(rng.randrange(4)):
+            at = rng.randrange(len(cut))
+            kind = rng.randrange(3)
+            cut[at : at + (kind < 2)] = [] if kind == 0 else [rng.choice("abcxyz")]
+        docs.append((d, f"{rng.choice(VOCAB)} {rng.choice(VOCAB)} {''.join(cut)} {rng.choice(VOCAB)}"))
+    want = set()
+    for i, p in items:
+        w = flat(p).split()
+        for d, t in docs:
+            if any(_near(flat(t), " ".join(w[k : k + 12]), edits) for k in range(len(w) - 11)):
+                want.add((d, i))
+    got = leaked_passages(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, passage string"), edits=edits).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == want and len(want) > 30
 
 
 def test_one_edit_is_found():
@@ -269,3 +308,50 @@ def test_tokens_are_whole_texts(spark):
     docs = spark.createDataFrame([(1, "one two three " * 30_000, "s")], "doc_id long, text string, source string")
     n = count_tokens(docs, "doc_id", "text", "source", "/opt/tokenizers/byte_bpe_50k.tiktoken").first()["tokens"]
     assert n >= 90_000
+
+
+# ---- figures, counts and repeatability
+
+
+def test_forest_figures(spark):
+    """The forest alone tells planted repetition on held-out rows (about fifty positives, so the figures are coarse)."""
+    from tidemark.llm.repetition import best_cut, forest_figures
+
+    rng = random.Random(2)
+    docs = []
+    for d in range(1500):
+        w = [f"{rng.choice(VOCAB)}{rng.randrange(300)}" for _ in range(rng.randrange(40, 120))]
+        docs.append((d, " ".join(w * (3 if d % 15 == 0 else 1))))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    f = forest_figures(df).first()
+    assert f["labelled"] == 1500 and f["held_out"] > 600 and f["recall"] >= 0.9 and f["precision"] >= 0.8
+    none = forest_figures(df.limit(0)).first()
+    assert none["labelled"] == 0 and none["precision"] is None
+    assert best_cut(np.array([0.9, 0.5, 0.5, 0.1]), np.array([True, True, False, False])) == 0.5
+    assert best_cut(np.array([0.9]), np.array([False])) == float("inf")
+
+
+def test_ids_count_once_in_a_mix(spark):
+    docs = spark.createDataFrame([(1, "a b c", "x"), (1, "a b c", "x"), (2, "d e f g", "x"), (2, "d", "y"), (3, "h", "y")], "doc_id long, text string, source string")
+    n = {r["doc_id"]: (r["source"], r["tokens"]) for r in count_tokens(docs, "doc_id", "text", "source", "/opt/tokenizers/byte_bpe_50k.tiktoken").collect()}
+    assert n == {1: ("x", 3), 2: ("x", 4), 3: ("y", 1)}
+    shares = {r["source"]: r["held_tokens"] for r in mix(docs, spark.createDataFrame([("x", 0.5, 1), ("y", 0.5, 1)], TARGETS))[1].collect()}
+    assert shares == {"x": 7, "y": 1}
+
+
+def test_sketches_do_not_depend_on_arrival(spark):
+    """Rows of a partition in another order, and sketches arriving in another order, give the same percentiles."""
+    rng = random.Random(3)
+    rows = [(i, "g", rng.random()) for i in range(3000)]
+    mixed = [rng.sample(rows[k::3], 1000) for k in range(3)]
+    again = [rng.sample(rows[k::3], 1000) for k in range(3)]
+
+    def run(parts):
+        df = None
+        for p in parts:
+            d = spark.createDataFrame(p, "id long, g string, x double").coalesce(1)
+            df = d if df is None else df.union(d)
+        s = sketch(df, ["g"], "x", order=["id"], k=64)
+        return sorted((r["share"], r["value"], r["rank_error"]) for r in percentiles(combine(s, ["g"], k=64, fan_in=2, pieces=9), ["g"], [0.1, 0.5, 0.9]).collect())
+
+    assert run(mixed) == run(again)

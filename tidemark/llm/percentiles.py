@@ -12,10 +12,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SKETCH = "n long, err double, level array<int>, size array<int>, vals array<double>"
+SKETCH = "n long, err double, level array<int>, size array<int>, vals array<double>, origin long"
 
 
 class Buffers:
@@ -80,16 +81,22 @@ def weighted(level: np.ndarray, size: np.ndarray, vals: np.ndarray, n: int, shar
     return [float(v) for v in np.asarray(vals)[order][np.minimum(np.searchsorted(upto, ranks), len(order) - 1)]]
 
 
-def sketch(df: DataFrame, keys: list[str], value: str, *, k: int = 4096, most_groups: int = 20_000) -> DataFrame:
+def sketch(df: DataFrame, keys: list[str], value: str, *, order: list[str] | None = None, k: int = 4096, most_groups: int = 20_000) -> DataFrame:
     """One or more sketches per group and input partition: keys and ``SKETCH``; no shuffle. Nulls and NaN are skipped.
 
-    A task that meets more than ``most_groups`` groups hands out what it has and goes on, so its memory is bounded."""
+    ``order`` names columns that put the rows of a partition in one order, so that a task run again after a lost
+    executor builds the same sketch from rows that arrive differently. ``origin`` numbers the sketches by partition. A task
+    that meets more than ``most_groups`` groups hands out what it has and goes on, so its memory is bounded."""
     x = F.col(value).cast("double")
-    rows = df.select(*keys, x.alias("__x")).where(F.col("__x").isNotNull() & ~F.isnan("__x"))
+    rows = df.select(*keys, *(F.col(c).alias(f"__o{i}") for i, c in enumerate(order or [])), x.alias("__x")).where(F.col("__x").isNotNull() & ~F.isnan("__x"))
+    if order:
+        rows = rows.sortWithinPartitions(*(f"__o{i}" for i in range(len(order))), *keys, "__x")
+    rows = rows.select(*keys, "__x")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1]) + ", " + SKETCH
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[tuple, Buffers] = {}
+        origin, times = TaskContext.get().partitionId(), 0
         for pdf in batches:
             groups = pdf.groupby(keys, dropna=False, sort=False).indices
             values = pdf["__x"].to_numpy()
@@ -97,13 +104,13 @@ def sketch(df: DataFrame, keys: list[str], value: str, *, k: int = 4096, most_gr
                 key = key if isinstance(key, tuple) else (key,)
                 held.setdefault(key, Buffers(k)).add(values[at])
             if len(held) > most_groups:
-                yield frame(held)
-                held = {}
+                yield frame(held, (origin << 20) + times)
+                held, times = {}, times + 1
         if held:
-            yield frame(held)
+            yield frame(held, (origin << 20) + times)
 
-    def frame(held: dict[tuple, Buffers]) -> pd.DataFrame:
-        return pd.DataFrame([(*(None if v != v else v for v in key), *b.row()) for key, b in held.items()], columns=[*keys, "n", "err", "level", "size", "vals"])
+    def frame(held: dict[tuple, Buffers], origin: int) -> pd.DataFrame:
+        return pd.DataFrame([(*(None if v != v else v for v in key), *b.row(), origin) for key, b in held.items()], columns=[*keys, "n", "err", "level", "size", "vals", "origin"])
 
     return rows.mapInPandas(build, schema)
 
@@ -111,22 +118,25 @@ def sketch(df: DataFrame, keys: list[str], value: str, *, k: int = 4096, most_gr
 def combine(sketches: DataFrame, keys: list[str], *, k: int = 4096, fan_in: int = 64, pieces: int | None = None) -> DataFrame:
     """One sketch per group out of any number: a tree whose tasks each merge about ``fan_in`` sketches of a group.
 
-    ``pieces``: about how many sketches a group has at most (by default the session's shuffle partitions)."""
+    ``pieces``: about how many sketches a group has at most (by default the session's shuffle partitions). Which sketches
+    meet, and in which order, follows from their ``origin`` alone."""
     n = pieces or int(sketches.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("origin", kind="stable")
         b = Buffers(k)
         for r in pdf[["n", "err", "level", "size", "vals"]].itertuples(index=False):
             b.merge(*r)
         out = pdf[keys].head(1).reset_index(drop=True)
         for c, v in zip(("n", "err", "level", "size", "vals"), b.row(), strict=True):
             out[c] = [v]
+        out["origin"] = pdf["origin"].min()
         return out
 
     out, schema = sketches, sketches.schema
     while n > fan_in:
         n = -(-n // fan_in)
-        out = out.withColumn("__part", F.pmod(F.spark_partition_id(), F.lit(n))).groupBy(*keys, "__part").applyInPandas(merge, schema)
+        out = out.withColumn("__part", F.pmod(F.xxhash64("origin"), F.lit(n))).groupBy(*keys, "__part").applyInPandas(merge, schema)
     return out.groupBy(*keys).applyInPandas(merge, schema)
 
 

@@ -1,11 +1,11 @@
 """Repetition inside a document: rule statistics, an isolation forest over them, and an exact share.
 
-The statistics of every document are computed once, over its whole text. The forest is grown on a bounded sample of
-them, over the shares repeated in grams of three lengths; the score beyond which a document is looked at is calibrated
-on labelled rows (a document is labelled repetitive if its exact repeated share exceeds the limit). A document over the
-limit at the longest gram is over it at the shorter ones too, so the least score that the forest can give to any such
-document follows from its trees; the calibrated score is never above that, and none is dismissed that the exact limit,
-applied to the suspects, would keep.
+The statistics of every document are computed once, over its whole text. The forest is grown over all of them on one
+half of a bounded sample of labelled rows (a document is labelled repetitive if its exact repeated share exceeds the
+limit); there the score is calibrated that tells the labels best, and the other half says how well it does. For
+finding, the cutoff is lowered: a document over the limit is over it in the shares of shorter grams and of words seen
+before as well, so the least score that the trees can give to any such document is known, and none below it can be
+over the limit. The exact share, an own column, decides among these suspects.
 """
 
 from __future__ import annotations
@@ -21,8 +21,9 @@ from ..storage import materialize
 from . import streams
 
 SHORTER = (4, 3)
-FOREST = ("repeated", *(f"repeated_{g}" for g in SHORTER))
-FEATURES = (*FOREST, "same_lines", "same_words", "top_gram", "long_words")
+# shares that are never below ``repeated``: each word of a repeated gram also lies in a repeated shorter gram and stood before
+AT_LEAST = ("repeated", *(f"repeated_{g}" for g in SHORTER), "same_words")
+FEATURES = (*AT_LEAST, "same_lines", "top_gram", "long_words")
 
 
 def statistics(texts: list[str], gram: int = 6, most_chars: int = 1_000_000) -> pd.DataFrame:
@@ -152,6 +153,60 @@ class Forest:
         return 2.0 ** (-total / len(self.feature) / max(self.norm, 1e-9))
 
 
+def measure(docs: DataFrame, doc_id: str, text: str, gram: int) -> DataFrame:
+    """doc_id, words, repeated_words and the statistics of every row; written once."""
+    wide = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).where("doc_id IS NOT NULL")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = statistics(list(pdf["text"]), gram)
+            out.insert(0, "doc_id", pdf["doc_id"].to_numpy())
+            yield out[["doc_id", "words", "repeated_words", *FEATURES]]
+
+    return materialize(wide.mapInPandas(run, "doc_id long, words long, repeated_words long, " + ", ".join(f"{c} double" for c in FEATURES)), "repetition")
+
+
+def best_cut(score: np.ndarray, label: np.ndarray) -> float:
+    """The score at or above which calling rows positive has the greatest F1; infinite without positives."""
+    if not label.any():
+        return float("inf")
+    values = np.unique(-score)
+    order = np.argsort(-score, kind="stable")
+    hits = np.cumsum(label[order])
+    last = np.searchsorted(-score[order], values, side="right") - 1  # equal scores stand or fall together
+    f1 = 2.0 * hits[last] / (last + 1 + label.sum())
+    return float(-values[f1.argmax()])
+
+
+class Judge:
+    """A forest with its calibrated score, its guaranteed cutoff and its figures on held-out labels."""
+
+    def __init__(self, stats: DataFrame, limit: float, labelled_rows: int, trees: int, sample: int, seed: int) -> None:
+        rows = stats.count()
+        share = labelled_rows / max(rows, labelled_rows)
+        h = F.xxhash64("doc_id")
+        # each task sends only its own share of the sample
+        own = stats.where(h < F.lit(min(int(share * 2.0**64) - (1 << 63), (1 << 63) - 1))).withColumn("held_out", F.xxhash64(h) > 0)
+        labelled = own.toPandas().sort_values("doc_id", kind="stable")
+        x = labelled[list(FEATURES)].to_numpy(dtype=float)
+        label = (labelled["repeated_words"] > limit * labelled["words"]).to_numpy(dtype=bool)
+        out = labelled["held_out"].to_numpy(dtype=bool)
+        self.forest, self.cut, self.least = None, -1.0, -1.0
+        self.figures = {"labelled": int(len(x)), "held_out": int(out.sum()), "positives": int((label & out).sum()), "precision": None, "recall": None}
+        if (~out).sum() < 2:
+            return
+        self.forest = Forest(x[~out], trees, sample, seed)
+        self.cut = best_cut(self.forest.score(x[~out]), label[~out])
+        self.least = min(self.forest.least_score(np.array([limit if c in AT_LEAST else -1.0 for c in FEATURES])), self.cut)
+        called = self.forest.score(x[out]) >= self.cut
+        right = int((called & label[out]).sum())
+        self.figures["precision"] = right / int(called.sum()) if called.any() else None
+        self.figures["recall"] = right / int(label[out].sum()) if label[out].any() else None
+
+    def score(self, x: np.ndarray) -> np.ndarray:
+        return self.forest.score(x) if self.forest else np.ones(len(x))
+
+
 def repeated_content(
     docs: DataFrame,
     *,
@@ -160,52 +215,43 @@ def repeated_content(
     limit: float = 0.3,
     gram: int = 6,
     labelled_rows: int = 20_000,
-    trees: int = 100,
-    sample: int = 256,
+    trees: int = 200,
+    sample: int = 128,
     seed: int = 7,
 ) -> DataFrame:
-    """doc_id, words, repeated_words, repeated (share), the other statistics, anomaly (forest score), suspect, repetitive.
+    """doc_id, words, repeated_words, repeated (share), the other statistics, anomaly, predicted, suspect, over_limit, repetitive.
 
-    ``suspect`` documents score at least the calibrated anomaly; ``repetitive`` ones are suspects whose repeated share
-    exceeds ``limit``. The forest is grown and its score calibrated on about ``labelled_rows`` documents (those whose
-    hash of doc_id lies below the share of the corpus that they make up): the calibrated score is the lowest that any of them with more than half of ``limit`` has,
-    or the least that the forest can give to a document over the limit, whichever is lower. Without a forest (fewer than
-    two rows) every document is a suspect. ``gram`` must exceed the shorter grams.
+    ``anomaly`` is the forest's score, ``predicted`` what it says by itself at its calibrated score, ``suspect`` whether
+    the score leaves it open that the document is over the limit; ``over_limit`` is the exact rule, repeated share above
+    ``limit``, and ``repetitive`` both of the last two. The forest is grown and calibrated on half of about
+    ``labelled_rows`` documents (those whose hash of doc_id lies below the share of the corpus that they make up);
+    ``forest_figures`` gives its precision and recall on the other half. With fewer than two rows to grow on every
+    document is a suspect. ``gram`` must exceed the shorter grams.
 
     A null text counts as empty and has share 0; very long texts are handled whole; rows with null doc_id are left
     out; of several rows with one doc_id the one with the highest share stands; an empty table gives no rows.
     """
-    wide = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).where("doc_id IS NOT NULL")
-    schema = "doc_id long, words long, repeated_words long, " + ", ".join(f"{c} double" for c in FEATURES)
+    stats = measure(docs, doc_id, text, gram)
+    judge = Judge(stats, limit, labelled_rows, trees, sample, seed)
 
-    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = statistics(list(pdf["text"]), gram)
-            out.insert(0, "doc_id", pdf["doc_id"].to_numpy())
-            yield out
-
-    stats = materialize(wide.mapInPandas(measure, schema), "repetition")
-    # a bounded sample of labelled rows, spread evenly by hash: each task sends only its own share of it
-    rows = stats.count()
-    share = labelled_rows / max(rows, labelled_rows)
-    labelled = stats.where(F.xxhash64("doc_id") < F.lit(min(int(share * 2.0**64) - (1 << 63), (1 << 63) - 1))).toPandas().sort_values("doc_id")
-    x = labelled[list(FOREST)].to_numpy()
-    cutoff, forest = -1.0, None
-    if len(x) > 1:
-        forest = Forest(x, trees, sample, seed)
-        cutoff = forest.least_score(np.full(len(FOREST), limit))
-        near = labelled["repeated"].to_numpy() > limit / 2
-        if near.any():
-            cutoff = min(cutoff, float(forest.score(x[near]).min()))
-
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            pdf["anomaly"] = forest.score(pdf[list(FOREST)].to_numpy()) if forest else 1.0
-            pdf["suspect"] = pdf["anomaly"] >= cutoff
-            pdf["repetitive"] = pdf["suspect"] & (pdf["repeated_words"] > limit * pdf["words"])
+            pdf["anomaly"] = judge.score(pdf[list(FEATURES)].to_numpy(dtype=float))
+            pdf["predicted"] = pdf["anomaly"] >= judge.cut
+            pdf["suspect"] = pdf["anomaly"] >= judge.least
+            pdf["over_limit"] = pdf["repeated_words"] > limit * pdf["words"]
+            pdf["repetitive"] = pdf["suspect"] & pdf["over_limit"]
             yield pdf
 
-    scored = stats.mapInPandas(judge, schema + ", anomaly double, suspect boolean, repetitive boolean")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stats.schema)
+    scored = stats.mapInPandas(run, f"{kinds}, anomaly double, predicted boolean, suspect boolean, over_limit boolean, repetitive boolean")
     rest = [c for c in scored.columns if c != "doc_id"]
     best = F.max(F.struct("repeated", *[c for c in rest if c != "repeated"])).alias("best")
     return scored.groupBy("doc_id").agg(best).select("doc_id", *(F.col(f"best.{c}").alias(c) for c in rest))
+
+
+def forest_figures(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", limit: float = 0.3, gram: int = 6, labelled_rows: int = 20_000, trees: int = 200, sample: int = 128, seed: int = 7) -> DataFrame:
+    """One row: labelled, held_out and positives (numbers of rows), and the forest's own precision and recall on the held-out
+    rows (null where there is nothing to divide by)."""
+    figures = Judge(measure(docs, doc_id, text, gram), limit, labelled_rows, trees, sample, seed).figures
+    return docs.sparkSession.createDataFrame([tuple(figures.values())], "labelled long, held_out long, positives long, precision double, recall double")
