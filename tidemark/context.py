@@ -10,6 +10,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import viz  # registers its backends  # noqa: F401
 from .functions import metrics as M
 from .functions.periods import annualization_factor
 from .operators import report, series
@@ -59,7 +60,7 @@ class AnalysisContext:
 
     def plot(self, sid: object = 0, backend: str = "table") -> Any:
         one = self.returns.where(F.col("sid") == F.lit(sid))
-        return get_viz_backend(backend).plot_returns(series.cum_returns(one, 1.0).select("dt", "cum", "dd").orderBy("dt").toPandas())
+        return get_viz_backend(backend).plot_returns(series.cum_returns(one, 1.0).select("dt", "cum"))
 
     def invalidate(self) -> None:
         self._held.clear()

@@ -18,9 +18,9 @@ AGAINST = ["alpha", "beta", "information_ratio", "tracking_error", "up_capture",
 EXTENDED = ["win_rate", "loss_rate", "max_single_day_gain", "max_single_day_loss", "downside_risk", "conditional_value_at_risk", "adjusted_sharpe_ratio", "conditional_sharpe_ratio", "sterling_ratio", "burke_ratio", "kappa_three_ratio", "common_sense_ratio", "mar_ratio", "serial_correlation", "trading_value_at_risk", "var_excess_return"]
 # Trailing periods in rows.
 PERIOD_ROWS = {"1W": 5, "1M": 21, "3M": 63, "6M": 126, "1Y": 252, "3Y": 756, "5Y": 1260}
-# Labels by Sharpe ratio and by drawdown.
-SHARPE_LABELS = ((2.0, "excellent"), (1.0, "good"), (0.5, "fair"), (-math.inf, "weak"))
-DRAWDOWN_LABELS = ((-0.1, "low"), (-0.2, "moderate"), (-0.35, "high"), (-math.inf, "very high"))
+# Labels by Sharpe ratio (above the limit) and by the size of the drawdown (below the limit).
+SHARPE_LABELS = ((1.5, "excellent"), (1.0, "good"), (0.5, "fair"))
+DRAWDOWN_LABELS = ((0.1, "excellent"), (0.2, "good"), (0.3, "fair"))
 
 
 def perf_stats(df: DataFrame, positions: DataFrame | None = None, transactions: DataFrame | None = None, **params: object) -> DataFrame:
@@ -96,8 +96,12 @@ def trade_stats(trades: DataFrame) -> DataFrame:
     return trades.agg(*aggs)
 
 
-def label(value: float | None, table: tuple) -> str:
-    return "n/a" if value is None else next(name for limit, name in table if value >= limit)
+def performance_label(sharpe: float | None) -> str:
+    return "N/A" if sharpe is None or sharpe != sharpe else next((name for limit, name in SHARPE_LABELS if sharpe > limit), "poor")
+
+
+def risk_label(drawdown: float | None) -> str:
+    return "N/A" if drawdown is None or drawdown != drawdown else next((name for limit, name in DRAWDOWN_LABELS if abs(drawdown) < limit), "poor")
 
 
 def fmt(value: object, pct: bool = False) -> str:
@@ -198,6 +202,6 @@ def strategy_report(df: DataFrame, sid: object, output: str, title: str = "Strat
         shown[name], n = first_rows(frame, most_rows, whole)
         body += html_table(shown[name], name + (f" (first {most_rows} of {n} rows; all in {whole.name})" if n > most_rows else ""))
     stats = {r["stat"]: r["value"] for r in shown["Performance"]}
-    summary = f"Risk-adjusted performance is {label(stats.get('sharpe_ratio'), SHARPE_LABELS)}; drawdown risk is {label(stats.get('max_drawdown'), DRAWDOWN_LABELS)}."
+    summary = f"Risk-adjusted performance is {performance_label(stats.get('sharpe_ratio'))}; risk control is {risk_label(stats.get('max_drawdown'))}."
     Path(output).write_text(f"<!doctype html><html><head><meta charset='utf-8'><title>{html.escape(title)}</title><style>body{{font:14px sans-serif}}td,th{{padding:2px 8px;text-align:right}}</style></head><body><h1>{html.escape(title)}</h1><p>{html.escape(summary)}</p>{body}</body></html>")
     return output

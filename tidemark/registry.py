@@ -6,7 +6,6 @@ from collections.abc import Callable
 from typing import Any
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 
 from .functions.metrics import REGISTRY, Metric
@@ -15,6 +14,7 @@ from .operators.series import whole_series
 EVENTS = ("pre_analysis", "post_analysis", "pre_compute", "post_compute", "optimization")
 _user: dict[str, Callable] = {}
 _backends: dict[str, type] = {}
+_built_in: set[str] = set()
 _hooks: dict[str, list[tuple[int, int, Callable]]] = {}
 
 
@@ -50,9 +50,13 @@ def get_metric(name: str) -> Callable | None:
     return _user.get(name)
 
 
-def register_viz_backend(name: str) -> Callable[[type], type]:
+def register_viz_backend(name: str, built_in: bool = False) -> Callable[[type], type]:
+    """Decorator; built-in ones stay when the registry is cleared."""
+
     def add(cls: type) -> type:
         _backends[name] = cls
+        if built_in:
+            _built_in.add(name)
         return cls
 
     return add
@@ -112,7 +116,8 @@ def clear_registry(kind: str | None = None) -> None:
             REGISTRY.pop(name, None)
         _user.clear()
     if kind in (None, "backends"):
-        _backends.clear()
+        for name in set(_backends) - _built_in:
+            del _backends[name]
     if kind in (None, "hooks"):
         _hooks.clear()
 
@@ -142,13 +147,3 @@ def create_compute_scope(data: DataFrame) -> HookScope:
 
 def create_optimization_scope(data: DataFrame) -> HookScope:
     return HookScope(data, "optimization", None)
-
-
-@register_viz_backend("table")
-class TableBackend:
-    """Chart data as pandas tables; drawing is left to the caller."""
-
-    def plot_returns(self, growth: pd.DataFrame) -> pd.DataFrame:
-        return growth
-
-    plot_drawdown = plot_rolling_sharpe = plot_monthly_heatmap = plot_returns
