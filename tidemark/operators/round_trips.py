@@ -1,34 +1,66 @@
-"""Fill blocks and FIFO round trips."""
+"""Fill blocks and first-in-first-out round trips."""
 
 from __future__ import annotations
 
 from collections import deque
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .book import stocks
 
-TRIPS = "symbol {kind}, open_dt timestamp, close_dt timestamp, long boolean, pnl double, rt_returns double"
+QUANTITY = "decimal(28,9)"
+
+
+def _order(order: str | None) -> list[str]:
+    return ["ts", *([order] if order else [])]
 
 
 def fill_blocks(transactions: DataFrame, max_delta_seconds: int = 8 * 3600, order: str | None = None) -> DataFrame:
-    """symbol, dt, amount, price: successive fills of one direction no further apart than ``max_delta_seconds`` become one
-    fill at their volume-weighted price (null for a sum of zero shares), dated by the first. ``order`` breaks ties of ts."""
-    keys = ["ts", *([order] if order else [])]
-    w = Window.partitionBy("symbol").orderBy(*keys)
-    sign = F.col("amount") > 0
-    gap = (F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(w))) > max_delta_seconds * 1_000_000
-    fresh = F.coalesce((F.lag(sign).over(w) != sign) | gap, F.lit(True))
-    run = F.sum(fresh.cast("long")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    blocks = transactions.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("block", run).groupBy("symbol", "block")
+    """symbol, block, dt, amount, price: successive fills of one direction no further apart than ``max_delta_seconds`` become
+    one fill at their volume-weighted price (null for a sum of zero shares), dated by the first. ``order`` breaks ties of
+    ts; ``block`` (the first fill's ts and order) puts a symbol's blocks in order.
+
+    A symbol's fills are scanned month by month, and the months joined through one row each, so a busy symbol is spread
+    over many tasks. Fills without symbol or ts are left out."""
+    keys = _order(order)
+    part = ["symbol", "__month"]
+    place = F.struct(*keys)
+    rows = transactions.withColumn("ts", F.col("ts").cast("timestamp")).where("symbol IS NOT NULL AND ts IS NOT NULL")
+    rows = rows.withColumn("__month", F.trunc("ts", "month")).withColumn("__side", F.col("amount") > 0).withColumn("__place", place)
+    w = Window.partitionBy(*part).orderBy(*keys)
+    inside = rows.withColumn("__ts0", F.lag("ts").over(w)).withColumn("__side0", F.lag("__side").over(w)).withColumn("__first", F.row_number().over(w) == 1)
+    months = inside.groupBy(*part).agg(F.max(F.struct("__place", "ts", "__side")).alias("end"))
+    by_month = Window.partitionBy("symbol").orderBy("__month")
+    entry = months.select(*part, F.lag("end").over(by_month).alias("__before"))
+    both = inside.join(entry, part)
+    at = lambda c: F.when(F.col("__first"), F.col(f"__before.{c}")).otherwise(F.col(f"{'__ts0' if c == 'ts' else '__side0'}"))
+    gap = F.unix_micros("ts") - F.unix_micros(at("ts")) > max_delta_seconds * 1_000_000
+    fresh = both.withColumn("__fresh", F.coalesce((at("__side") != F.col("__side")) | gap, F.lit(True)))
+    begun = F.max(F.when(F.col("__fresh"), F.col("__place")))
+    started = fresh.withColumn("__own", begun.over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    ends = started.groupBy(*part).agg(F.max("__own").alias("end"))
+    carried = ends.select(*part, F.max("end").over(by_month.rowsBetween(Window.unboundedPreceding, -1)).alias("__carried"))
+    blocks = started.join(carried, part).groupBy("symbol", F.coalesce("__own", "__carried").alias("block"))
     total = F.sum("amount")
     return blocks.agg(F.min("ts").alias("dt"), total.alias("amount"), F.try_divide(F.sum(F.col("amount") * F.col("price")), total).alias("price"))
 
 
+def running_sums(df: DataFrame, keys: list[str], shard: Column, order: str, sums: dict[str, Column]) -> DataFrame:
+    """Adds the sums so far (the row included) of each series in ``order``. ``shard`` must not fall along the order: shards
+    are summed apart, and the totals of earlier ones added."""
+    part = [*keys, "__shard"]
+    w = Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = df.withColumn("__shard", shard).select("*", *(v.alias(f"__v_{k}") for k, v in sums.items()))
+    inside = inside.select("*", *(F.sum(f"__v_{k}").over(w).alias(k) for k in sums))
+    before = Window.partitionBy(*keys).orderBy("__shard").rowsBetween(Window.unboundedPreceding, -1)
+    totals = inside.groupBy(*part).agg(*(F.sum(f"__v_{k}").alias(f"__t_{k}") for k in sums))
+    carry = totals.select(*part, *(F.coalesce(F.sum(f"__t_{k}").over(before), F.lit(0)).alias(f"__c_{k}") for k in sums))
+    return inside.join(carry, part).select(*df.columns, *((F.col(k) + F.col(f"__c_{k}")).cast(QUANTITY).alias(k) for k in sums))
+
+
 def match_lots(symbol: object, dts: list, amounts: list, prices: list, lots: deque | None = None) -> tuple[list[tuple], deque]:
-    """FIFO matching of one symbol's fills: closes the oldest lots of the other side, what is left opens a lot.
+    """First-in-first-out matching of one symbol's fills, one after the other, as a stream needs it: closes the oldest lots of the other side, what is left opens a lot.
 
     Whether a fill opens is decided by the youngest lot's side. Fills of negative price are skipped."""
     lots = deque() if lots is None else lots
@@ -59,20 +91,50 @@ def match_lots(symbol: object, dts: list, amounts: list, prices: list, lots: deq
     return trips, lots
 
 
-def round_trips(transactions: DataFrame, portfolio_value: DataFrame | None = None, order: str | None = None) -> DataFrame:
-    """symbol, open_dt, close_dt, long, pnl, rt_returns, duration_s[, returns].
+def matches(blocks: DataFrame, per_bucket: int = 8) -> DataFrame:
+    """symbol, closed (block), opened (block), close_dt, open_dt, side, used, price, cost: which quantity of which opening fill
+    each closing fill takes, first in, first out.
+
+    Open lots always have one side, so a fill closes what of it fits into the position against it and opens the rest. In
+    order of time the opened and the closed quantities of a symbol are two runs of intervals on one line, and matching is
+    their overlap. Sums are exact decimals of nine places. Intervals are cut into buckets of about ``per_bucket`` fills
+    and joined by symbol and bucket, so a busy symbol is spread over many tasks."""
+    rows = blocks.where("price >= 0 AND NOT isnan(price) AND amount IS NOT NULL AND amount <> 0 AND NOT isnan(amount)")
+    rows = rows.withColumn("amount", F.col("amount").cast(QUANTITY)).where("amount <> 0")
+    month = F.trunc("dt", "month")
+    held = running_sums(rows, ["symbol"], month, "block", {"position": F.col("amount")})
+    before = F.col("position") - F.col("amount")
+    against = F.signum(before) * F.signum("amount") < 0
+    closing = F.when(against, F.least(F.abs("amount"), F.abs(before))).otherwise(F.lit(0)).cast(QUANTITY)
+    split = held.withColumn("closing", closing).withColumn("opening", (F.abs("amount") - F.col("closing")).cast(QUANTITY))
+    lines = running_sums(split, ["symbol"], month, "block", {"o": F.col("opening"), "c": F.col("closing")})
+    width = split.where("opening > 0").groupBy("symbol").agg((F.avg("opening").cast("double") * per_bucket).alias("width"))
+    base = lines.join(width, "symbol")
+    side = F.signum("amount").cast("int")
+
+    def intervals(size: str, end: str, names: dict[str, Column]) -> DataFrame:
+        lo = F.col(end) - F.col(size)
+        first, last = (F.floor(v.cast("double") / F.col("width")) for v in (lo, F.col(end)))
+        cut = base.where(F.col(size) > 0).select("symbol", "width", *(v.alias(n) for n, v in names.items()), lo.alias(f"{end}_lo"), F.col(end).alias(f"{end}_hi"), first.alias("__a"), last.alias("__b"))
+        return cut.withColumn("bucket", F.explode(F.sequence("__a", "__b"))).drop("__a", "__b")
+
+    opened = intervals("opening", "o", {"opened": F.col("block"), "open_dt": F.col("dt"), "cost": F.col("price"), "side": side}).drop("width")
+    closed = intervals("closing", "c", {"closed": F.col("block"), "close_dt": F.col("dt"), "price": F.col("price")})
+    j = closed.join(opened, ["symbol", "bucket"]).where("o_lo < c_hi AND c_lo < o_hi")
+    lo, hi = F.greatest("o_lo", "c_lo"), F.least("o_hi", "c_hi")
+    # a pair that meets in several buckets counts in the first
+    once = F.col("bucket") == F.floor(lo.cast("double") / F.col("width"))
+    return j.where(once).select("symbol", "closed", "opened", "close_dt", "open_dt", "side", (hi - lo).cast("double").alias("used"), "price", "cost")
 
-    Fills are merged into blocks first. Matching needs one symbol's blocks in order, so it runs grouped by symbol.
-    With ``portfolio_value`` (dt, value) ``returns`` is the profit over the closing day's value."""
-    blocks = fill_blocks(transactions, order=order)
-    kind = blocks.schema["symbol"].dataType.simpleString()
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["dt", "block"])
-        trips, _ = match_lots(pdf["symbol"].iloc[0], list(pdf["dt"]), list(pdf["amount"]), list(pdf["price"]))
-        return pd.DataFrame(trips, columns=["symbol", "open_dt", "close_dt", "long", "pnl", "rt_returns"])
+def round_trips(transactions: DataFrame, portfolio_value: DataFrame | None = None, order: str | None = None) -> DataFrame:
+    """symbol, open_dt, close_dt, long, pnl, rt_returns, duration_s[, returns]: one row per closing fill.
 
-    out = blocks.groupBy("symbol").applyInPandas(run, TRIPS.format(kind=kind))
+    Fills are merged into blocks first; blocks of negative, null or NaN price or without amount are left out.
+    With ``portfolio_value`` (dt, value) ``returns`` is the profit over the closing day's value."""
+    m = matches(fill_blocks(transactions, order=order))
+    pnl = F.sum(F.col("side") * (F.col("price") - F.col("cost")) * F.col("used"))
+    out = m.groupBy("symbol", "closed").agg(F.min("open_dt").alias("open_dt"), F.min("close_dt").alias("close_dt"), (F.min("side") > 0).alias("long"), pnl.alias("pnl"), F.coalesce(F.try_divide(pnl, F.sum(F.col("cost") * F.col("used"))), F.lit(0.0)).alias("rt_returns")).drop("closed")
     out = out.withColumn("duration_s", ((F.unix_micros("close_dt") - F.unix_micros("open_dt")) / 1_000_000).cast("long"))
     if portfolio_value is not None:
         value = portfolio_value.select(F.col("dt").cast("date").alias("__d"), F.col("value").alias("__v"))
