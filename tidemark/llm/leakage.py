@@ -208,7 +208,7 @@ def search(index: Passages, ids: np.ndarray, texts: list[str], most_chars: int)
 
 
 class Bloom:
-    """Bit filter of 64-bit keys, two probes each."""
+    """Bit filter of 64-bit keys, three probes each."""
 
     def __init__(self, bits: bytes) -> None:
         self.bits = np.frombuffer(bits, dtype=np.uint8)
@@ -219,9 +219,11 @@ class Bloom:
 
     def may_hold(self, keys: np.ndarray) -> np.ndarray:
         k = keys.view(np.uint64)
-        out = self._bit(k & self.mask)
-        at = np.flatnonzero(out)
-        out[at] = self._bit((k[at] >> np.uint64(32)) & self.mask)
+        at = np.flatnonzero(self._bit(k & self.mask))
+        at = at[self._bit((k[at] >> np.uint64(32)) & self.mask)]
+        at = at[self._bit((k[at] ^ (k[at] >> np.uint64(21))) & self.mask)]
+        out = np.zeros(len(k), dtype=bool)
+        out[at] = True
         return out
 
     def _bit(self, place: np.ndarray) -> np.ndarray:
@@ -229,12 +231,13 @@ class Bloom:
 
 
 def bloom_of(keys: DataFrame, number: int, most_bits: int) -> Bloom:
-    """The filter of column ``h``: 32 bits a key, at most ``most_bits``. Pieces of 4 KB are built where the keys are; only
+    """The filter of column ``h``: 64 bits a key, at least 2^23 and at most ``most_bits``. Pieces of 4 KB are built where the keys are; only
     they, at most ``most_bits`` / 8 bytes, come to the driver."""
     bits = 1 << 15
-    while bits < min(number * 32, most_bits):
+    while bits < min(max(number * 64, 1 << 23), most_bits):
         bits *= 2
-    probes = keys.select(F.explode(F.array(F.col("h").bitwiseAND(bits - 1), F.shiftrightunsigned("h", 32).bitwiseAND(bits - 1))).alias("at"))
+    h = F.col("h")
+    probes = keys.select(F.explode(F.array(*(p.bitwiseAND(bits - 1) for p in (h, F.shiftrightunsigned(h, 32), h.bitwiseXOR(F.shiftrightunsigned(h, 21)))))).alias("at"))
     pieces = probes.groupBy(F.shiftright("at", 15).alias("k")).agg(F.bitmap_construct_agg(F.col("at").bitwiseAND((1 << 15) - 1)).alias("b"))
     out = np.zeros(bits // 8, dtype=np.uint8)
     for r in pieces.toLocalIterator():
