@@ -46,7 +46,8 @@ def moments(df: DataFrame, most_assets: int = 2000) -> tuple[list, np.ndarray, n
         return pd.DataFrame({"c": [pdf["c"].sum()], "s": [np.sum(list(pdf["s"]), axis=0)], "g": [np.sum(list(pdf["g"]), axis=0)]})
 
     few = parts.withColumn("b", F.pmod(F.spark_partition_id(), F.lit(64))).groupBy("b").applyInPandas(total, "c long, s array<double>, g array<double>")
-    rows = few.collect()
+    # and those once more, so that one matrix comes to the driver
+    rows = few.withColumn("b", F.lit(0)).groupBy("b").applyInPandas(total, "c long, s array<double>, g array<double>").collect()
     c = sum(r["c"] for r in rows)
     if c < 2:
         raise ValueError("fewer than two common days")

@@ -14,6 +14,7 @@ from ..sources.tables import table
 from .series_queries import _rounded
 from .views import M_SQL, P_SQL, R_SQL, T_SQL, market, positions, returns, trades
 
+MONEY = 3.7e-7  # profits of some 10^5 are summed to about 10^-9
 Query = Callable[[SparkSession, str], DataFrame]
 BUCKETS = [("small", 0.0, 1000.0), ("mid", 1000.0, 1500.0), ("large", 1500.0, 1e12)]
 
@@ -103,9 +104,9 @@ QUERIES: dict[str, Query] = {
     "txn_time_hist": lambda s, d: _rounded(B.transaction_hours(_event_trades(s, d), 60)),
     "estimate_intraday": lambda s, d: _rounded(B.estimate_intraday(_event_positions(s, d), _event_trades(s, d)), 4),
     "fill_blocks": lambda s, d: _rounded(T.fill_blocks(trades(s, d), order="seq").drop("block"), 5),
-    "round_trips": lambda s, d: _rounded(_trips(s, d), 4),
-    "round_trip_stats": lambda s, d: _rounded(T.round_trip_stats(_trips(s, d)), 4),
-    "round_trip_stats_by_symbol": lambda s, d: _rounded(T.round_trip_stats_by_symbol(_trips(s, d)), 4),
+    "round_trips": lambda s, d: _rounded(_trips(s, d), 4, MONEY),
+    "round_trip_stats": lambda s, d: _rounded(T.round_trip_stats(_trips(s, d)), 4, MONEY),
+    "round_trip_stats_by_symbol": lambda s, d: _rounded(T.round_trip_stats_by_symbol(_trips(s, d)), 4, MONEY),
     "profit_attribution": lambda s, d: _rounded(T.profit_attribution(_trips(s, d)), 6),
     "closing_transactions": lambda s, d: _rounded(T.closing_transactions(positions(s, d), _brand_trades(s, d)), 4),
     "factor_exposures": lambda s, d: _rounded(A.compute_exposures(B.normalized_positions(positions(s, d)), _loadings(s, d))),
@@ -159,6 +160,27 @@ _ATT = f"""{P_SQL}, {_L_SQL}, {_MONTH_SQL}, {_WEIGHT_SQL}, EX AS (SELECT PW.dt,
   BD AS (SELECT RM.dt, ret AS total, c AS common, ret - c AS specific, t AS tilt, c - t AS timing FROM RM JOIN (SELECT dt, sum(contribution) AS c, sum(tilt) AS t FROM BF GROUP BY dt) x ON x.dt = RM.dt)"""
 
 N = "+ 3.7e-11"
+_STYLE_SQL = f"""{R_SQL}, Q AS (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY dt DESC) AS k FROM R), S AS (SELECT sid, stddev_samp(ret) AS vol, product(1 + ret) FILTER (WHERE k <= 252) - 1 AS mom FROM Q GROUP BY sid), D AS (SELECT median(vol) AS mv, median(mom) AS mm FROM S),
+      U AS (SELECT sid, CASE WHEN mom >= mm THEN 'momentum' ELSE 'reversal' END AS style FROM S, D UNION ALL SELECT sid, CASE WHEN vol >= mv THEN 'high_vol' ELSE 'low_vol' END FROM S, D),
+      SW AS (SELECT sid, style, 1.0 / count(*) OVER (PARTITION BY style) AS weight FROM U), SR AS (SELECT dt, style, sum(ret * weight) AS ret FROM R JOIN SW ON SW.sid = R.sid GROUP BY dt, style)"""
+# First in, first out: overlaps of the opened and the closed quantities on one line per symbol.
+_TRIPS_SQL = f"""{T_SQL}, A AS (SELECT *, lag(amount > 0) OVER w AS was, lag(ts) OVER w AS prev FROM T WINDOW w AS (PARTITION BY symbol ORDER BY ts, seq)),
+      CB AS (SELECT *, sum(CASE WHEN was IS NULL OR was <> (amount > 0) OR ts - prev > INTERVAL 8 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY symbol ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS block FROM A),
+      BL AS (SELECT symbol, block, min(ts) AS dt, sum(amount) AS amount, sum(amount * price) / nullif(sum(amount), 0) AS price FROM CB GROUP BY 1, 2),
+      PO AS (SELECT *, coalesce(sum(amount) OVER (PARTITION BY symbol ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS held FROM BL WHERE price >= 0 AND amount <> 0),
+      SP AS (SELECT *, CASE WHEN sign(held) * sign(amount) < 0 THEN least(abs(amount), abs(held)) ELSE 0 END AS c FROM PO),
+      LN AS (SELECT *, sum(c) OVER w AS c1, sum(abs(amount) - c) OVER w AS o1 FROM SP WINDOW w AS (PARTITION BY symbol ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+      OP AS (SELECT symbol, dt, price, sign(amount) AS side, o1 - (abs(amount) - c) AS o0, o1 FROM LN WHERE abs(amount) > c), CL AS (SELECT symbol, block, dt, price, c1 - c AS c0, c1 FROM LN WHERE c > 0),
+      MT AS (SELECT CL.symbol, CL.block, CL.dt AS close_dt, OP.dt AS open_dt, side, CL.price - OP.price AS gain, OP.price AS cost, least(o1, c1) - greatest(o0, c0) AS used FROM CL JOIN OP ON OP.symbol = CL.symbol AND o0 < c1 AND c0 < o1),
+      TRIPS AS (SELECT symbol, min(open_dt) AS open_dt, min(close_dt) AS close_dt, min(side) > 0 AS long, sum(side * gain * used) AS pnl, coalesce(sum(side * gain * used) / nullif(sum(cost * used), 0), 0) AS rt_returns, CAST(epoch(min(close_dt)) - epoch(min(open_dt)) AS BIGINT) AS duration_s FROM MT GROUP BY symbol, block)"""
+_R4 = lambda e, n: f"round({e} + 3.7e-7, 4) AS {n}"
+_WON, _LOST = "FILTER (WHERE pnl > 0)", "FILTER (WHERE pnl < 0)"
+_TRIP_STATS = ", ".join([
+    "count(*) AS round_trips", _R4("sum(pnl)", "total_profit"), _R4(f"coalesce(sum(pnl) {_WON}, 0)", "gross_profit"), _R4(f"coalesce(sum(pnl) {_LOST}, 0)", "gross_loss"), _R4(f"sum(pnl) {_WON} / nullif(-sum(pnl) {_LOST}, 0)", "profit_factor"),
+    _R4("avg(pnl)", "avg_trade"), _R4(f"avg(pnl) {_WON}", "avg_winning"), _R4(f"avg(pnl) {_LOST}", "avg_losing"), _R4(f"avg(pnl) {_WON} / nullif(-avg(pnl) {_LOST}, 0)", "win_loss_ratio"), _R4("max(pnl)", "largest_win"), _R4("min(pnl)", "largest_loss"),
+    _R4(f"(count(*) {_WON}) / count(*)", "percent_profitable"), f"count(*) {_WON} AS winning", f"count(*) {_LOST} AS losing", "count(*) FILTER (WHERE pnl = 0) AS even", _R4("avg(duration_s)", "avg_duration_s"), _R4("median(duration_s)", "median_duration_s"), "max(duration_s) AS longest_s", "min(duration_s) AS shortest_s",
+    _R4("avg(rt_returns)", "avg_return"), _R4("median(rt_returns)", "median_return"), _R4("max(rt_returns)", "best_return"), _R4("min(rt_returns)", "worst_return"), _R4("stddev_samp(rt_returns)", "std_return"),
+])
 SQL: dict[str, str] = {
     "percent_alloc": f"WITH {P_SQL} SELECT {_TS}, symbol, round(value / nullif(sum(value) OVER (PARTITION BY dt), 0) {N}, 7) AS alloc FROM P",
     "gross_leverage": f"""WITH {P_SQL}, E AS (SELECT dt, coalesce(sum(value) FILTER (WHERE symbol <> 'cash' AND value > 0), 0) AS l, coalesce(sum(-value) FILTER (WHERE symbol <> 'cash' AND value < 0), 0) AS s, sum(value) AS t FROM P GROUP BY dt)
@@ -214,6 +236,23 @@ SQL: dict[str, str] = {
     "idiosyncratic_risk": f"WITH {R_SQL} SELECT sid, round(sqrt(greatest(var_pop(ret) - pow(regr_slope(ret, f), 2) * var_pop(f), 0)) {N}, 7) AS idiosyncratic_risk FROM R GROUP BY sid",
     "style_exposures": f"""WITH {R_SQL}, Q AS (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY dt DESC) AS k FROM R), S AS (SELECT sid, stddev_samp(ret) AS vol, product(1 + ret) FILTER (WHERE k <= 252) - 1 AS mom FROM Q GROUP BY sid), D AS (SELECT median(vol) AS mv, median(mom) AS mm FROM S),
       U AS (SELECT sid, CASE WHEN mom >= mm THEN 'momentum' ELSE 'reversal' END AS style FROM S, D UNION ALL SELECT sid, CASE WHEN vol >= mv THEN 'high_vol' ELSE 'low_vol' END FROM S, D) SELECT sid, style, round(1.0 / count(*) OVER (PARTITION BY style) {N}, 7) AS weight FROM U""",
+    "style_summary": f"WITH {_STYLE_SQL} SELECT style, round(avg(ret) {N}, 7) AS ret FROM SR GROUP BY style",
+    "regression_attribution": f"""WITH {_STYLE_SQL}, DP AS (SELECT dt, avg(ret) AS p FROM R GROUP BY dt), RA AS (SELECT style, covar_pop(SR.ret, p) / nullif(stddev_pop(SR.ret) * stddev_pop(p), 0) * avg(SR.ret) AS a FROM SR JOIN DP ON DP.dt = SR.dt GROUP BY style)
+      SELECT style, round(a {N}, 7) AS attribution FROM RA UNION ALL SELECT 'residual', round((SELECT avg(p) FROM DP) - (SELECT coalesce(sum(a), 0) FROM RA) {N}, 7)""",
+    "closing_transactions": f"""WITH {_BT_SQL}, {P_SQL}, LD AS (SELECT max(dt) AS dt FROM P), NET AS (SELECT symbol, sum(amount) AS net FROM BT GROUP BY symbol HAVING abs(sum(amount)) >= 1e-6),
+      C AS (SELECT ts, symbol, amount, price FROM BT UNION ALL SELECT CAST(P.dt AS TIMESTAMP) + INTERVAL 1 SECOND, P.symbol, -net, value / net FROM P JOIN LD ON LD.dt = P.dt JOIN NET ON NET.symbol = P.symbol WHERE P.symbol <> 'cash' AND value <> 0)
+      SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, symbol, round(amount {N}, 4) AS amount, round(price {N}, 4) AS price FROM C WHERE amount <> 0""",
+    "estimate_intraday": f"""WITH E AS (SELECT CAST(ts AS TIMESTAMP) AS ts, event_type AS symbol, CASE WHEN user_id % 2 = 0 THEN 1.0 ELSE -1.0 END * value AS v FROM events),
+      EP AS (SELECT CAST(ts AS DATE) AS dt, symbol, round(sum(v), 4) AS value FROM E GROUP BY 1, 2), V AS (SELECT CAST(ts AS DATE) AS dt, ts, symbol, sum(v) AS v FROM E GROUP BY 1, 2, 3),
+      RC AS (SELECT *, sum(v) OVER (PARTITION BY dt, symbol ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum FROM V), ST AS (SELECT *, abs(cum) - abs(coalesce(lag(cum) OVER (PARTITION BY dt, symbol ORDER BY ts), 0)) AS step FROM RC),
+      EX AS (SELECT dt, ts, sum(sum(step)) OVER (PARTITION BY dt ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS e FROM ST GROUP BY dt, ts), PK AS (SELECT dt, ts AS peak FROM (SELECT *, row_number() OVER (PARTITION BY dt ORDER BY e DESC, ts) AS k FROM EX) x WHERE k = 1),
+      IA AS (SELECT RC.dt, symbol, arg_max(cum, ts) AS intraday FROM RC JOIN PK ON PK.dt = RC.dt AND ts <= peak GROUP BY 1, 2), FO AS (SELECT dt, lead(dt) OVER (ORDER BY dt) AS next FROM (SELECT DISTINCT dt FROM EP) d),
+      PR AS (SELECT next AS dt, symbol, value FROM EP JOIN FO ON FO.dt = EP.dt WHERE next IS NOT NULL AND symbol <> 'cash')
+      SELECT CAST(coalesce(PR.dt, IA.dt) AS VARCHAR) AS dt, coalesce(PR.symbol, IA.symbol) AS symbol, round(coalesce(value, 0) + coalesce(intraday, 0) {N}, 4) AS value FROM PR FULL JOIN IA ON IA.dt = PR.dt AND IA.symbol = PR.symbol""",
+    "round_trips": f"WITH {_TRIPS_SQL} SELECT symbol, strftime(open_dt, '%Y-%m-%d %H:%M:%S') AS open_dt, strftime(close_dt, '%Y-%m-%d %H:%M:%S') AS close_dt, long, round(pnl + 3.7e-7, 4) AS pnl, round(rt_returns + 3.7e-7, 4) AS rt_returns, duration_s FROM TRIPS",
+    "round_trip_stats": f"WITH {_TRIPS_SQL}, K AS (SELECT 'all' AS kind, * FROM TRIPS UNION ALL SELECT CASE WHEN long THEN 'long' ELSE 'short' END, * FROM TRIPS) SELECT kind, {_TRIP_STATS} FROM K GROUP BY kind",
+    "round_trip_stats_by_symbol": f"""WITH {_TRIPS_SQL} SELECT symbol, count(*) AS round_trips, round(sum(pnl) + 3.7e-7, 4) AS pnl, round(avg(rt_returns) + 3.7e-7, 4) AS avg_return, round(median(rt_returns) + 3.7e-7, 4) AS median_return, round(max(rt_returns) + 3.7e-7, 4) AS best_return, round(min(rt_returns) + 3.7e-7, 4) AS worst_return FROM TRIPS GROUP BY symbol""",
+    "profit_attribution": f"WITH {_TRIPS_SQL} SELECT symbol, round(sum(pnl) / nullif(sum(sum(pnl)) OVER (), 0) {N}, 6) AS share FROM TRIPS GROUP BY symbol",
     "style_tilts": f"""WITH {R_SQL}, Q AS (SELECT sid, dt, round(product(1 + ret) OVER w - 1 + 3.7e-11, 9) AS mom, round(stddev_samp(ret) OVER w + 3.7e-11, 9) AS vol, count(*) OVER w AS n FROM R WINDOW w AS (PARTITION BY sid ORDER BY dt ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)), K AS (SELECT * FROM Q WHERE n = 60)
       SELECT sid, {_TS}, round((rank() OVER (PARTITION BY dt ORDER BY mom) + (count(*) OVER (PARTITION BY dt, mom) - 1) / 2.0) / count(*) OVER (PARTITION BY dt) {N}, 7) AS momentum_rank, round((rank() OVER (PARTITION BY dt ORDER BY vol) + (count(*) OVER (PARTITION BY dt, vol) - 1) / 2.0) / count(*) OVER (PARTITION BY dt) {N}, 7) AS volatility_rank FROM K""",
 }

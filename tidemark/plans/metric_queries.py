@@ -115,3 +115,10 @@ QUERIES = {n: _query(n) for n in (*SQL_EXPR, *NO_SQL)} | {n: _date_query(n) for
 SQL = {n: f"WITH {RUNS_SQL} SELECT sid, round(CAST({e} AS DOUBLE), 7) AS {n} FROM NV GROUP BY sid" for n, e in SQL_EXPR.items()} | {
     n: f"WITH {RUNS_SQL} SELECT sid, CAST(dt AS VARCHAR) AS {n} FROM (SELECT sid, dt, row_number() OVER (PARTITION BY sid ORDER BY ret {o}, dt) AS k FROM R) WHERE k = 1" for n, (o,) in DATES.items()
 }
+# The normal distribution function by its series: 1/2 + density x sum of z^(2k+1) / (2k+1)!!
+SQL["deflated_sharpe_ratio"] = f"""WITH {RUNS_SQL}, S AS (SELECT sid, count(ret) AS n, CASE WHEN stddev_samp(ret) > 1e-15 THEN avg(ret) / stddev_samp(ret) ELSE 0 END AS sr,
+        CASE WHEN stddev_pop(ret) = 0 THEN 0 ELSE ({_SKEW}) * sqrt(count(ret) * (count(ret) - 1.0)) / (count(ret) - 2.0) END AS g3,
+        CASE WHEN count(ret) < 4 OR stddev_pop(ret) = 0 THEN 0 ELSE ((count(ret) + 1.0) * ({_KURT}) + 6) * (count(ret) - 1.0) / ((count(ret) - 2.0) * (count(ret) - 3.0)) END AS g4 FROM NV GROUP BY sid),
+      Z AS (SELECT sid, CASE WHEN n < 3 THEN NULL WHEN 1 - g3 * sr + (g4 - 1) / 4 * sr * sr <= 0 THEN CASE WHEN sr > 0 THEN 40 ELSE -40 END ELSE sr * sqrt(n - 1.0) / sqrt(1 - g3 * sr + (g4 - 1) / 4 * sr * sr) END AS z FROM S),
+      K AS (SELECT unnest(generate_series(0, 120)) AS k)
+      SELECT sid, round(CASE WHEN z > 7 THEN 1 WHEN z < -7 THEN 0 ELSE 0.5 + sign(z) * exp(-z * z / 2) / sqrt(2 * pi()) * coalesce(sum(CASE WHEN z <> 0 THEN exp((2 * k + 1) * ln(abs(z)) - (lgamma(2 * k + 2) - k * ln(2) - lgamma(k + 1))) END), 0) END, 7) AS deflated_sharpe_ratio FROM Z, K GROUP BY sid, z"""

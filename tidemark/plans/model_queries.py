@@ -106,6 +106,12 @@ SQL: dict[str, str] = {
       C AS (SELECT *, product(1 + ret) OVER (PARTITION BY sid, scenario ORDER BY dt ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c FROM X),
       D AS (SELECT *, c / max(c) OVER (PARTITION BY sid, scenario ORDER BY dt ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 AS d FROM C)
       SELECT sid, scenario, round(product(1 + ret) - 1 {N}, 7) AS cumulative_return, round(min(d) {N}, 7) AS max_drawdown, round(stddev_samp(ret) * sqrt(252) {N}, 7) AS volatility, round(product(1 + ret) {N}, 7) AS final_value FROM D GROUP BY 1, 2""",
+    "scenario_table": f"""WITH {_FEW}, K AS (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY dt) AS k, count(*) OVER (PARTITION BY sid) AS n FROM RF),
+      X AS (SELECT sid, dt, 'crash' AS scenario, CASE WHEN k = n // 2 + 1 THEN -0.2 ELSE ret END AS ret FROM K UNION ALL SELECT sid, dt, 'spike', CASE WHEN k = n // 2 + 1 THEN 0.1 ELSE ret END FROM K UNION ALL SELECT sid, dt, 'vol_crush', ret * 0.5 FROM K UNION ALL SELECT sid, dt, 'vol_spike', ret * 2 FROM K),
+      C AS (SELECT *, product(1 + ret) OVER (PARTITION BY sid, scenario ORDER BY dt ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c FROM X),
+      D AS (SELECT *, c / max(c) OVER (PARTITION BY sid, scenario ORDER BY dt ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 AS d FROM C),
+      Y AS (SELECT sid, scenario, product(1 + ret) - 1 AS a, min(d) AS b, stddev_samp(ret) * sqrt(252) AS v FROM D GROUP BY 1, 2)
+      SELECT sid, scenario, format('{{:,.2f}}%', a * 100) AS cumulative_return, format('{{:,.2f}}%', b * 100) AS max_drawdown, format('{{:,.2f}}%', v * 100) AS volatility FROM Y""",
     "hill_estimator": f"WITH {_FEW}, U AS (SELECT sid, quantile_cont(ret, CAST(0.9 AS DOUBLE)) AS u FROM RF WHERE ret > 0 GROUP BY sid) SELECT sid, round(CASE WHEN count(*) >= 10 THEN avg(ln(ret - u)) - min(ln(ret - u)) END {N}, 5) AS xi, count(*) AS exceedances FROM RF JOIN U USING (sid) WHERE ret > u GROUP BY sid",
     "gpd_pwm": f"""WITH {_FEW}, U AS (SELECT sid, quantile_cont(-ret, CAST(0.9 AS DOUBLE)) AS u FROM RF WHERE ret < 0 GROUP BY sid), E AS (SELECT sid, u, -ret - u AS e, row_number() OVER (PARTITION BY sid ORDER BY -ret) AS i FROM RF JOIN U USING (sid) WHERE -ret > u),
       M AS (SELECT sid, max(u) AS u, count(*) AS n, avg(e) AS m1, 2.0 * sum(i * e) / (count(*) * count(*)) AS m2 FROM E GROUP BY sid HAVING count(*) >= 10)

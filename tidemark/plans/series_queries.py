@@ -18,8 +18,8 @@ W = 60
 NUDGE = 3.7e-11  # keeps values that lie between two roundings on one side in both engines
 
 
-def _rounded(df: DataFrame, digits: int = 7) -> DataFrame:
-    return df.select(*(F.round(F.col(c) + NUDGE, digits).alias(c) if t == "double" else F.col(c).cast("string").alias(c) if t in ("date", "timestamp") else F.col(c) for c, t in df.dtypes))
+def _rounded(df: DataFrame, digits: int = 7, nudge: float = NUDGE) -> DataFrame:
+    return df.select(*(F.round(F.col(c) + nudge, digits).alias(c) if t == "double" else F.col(c).cast("string").alias(c) if t in ("date", "timestamp") else F.col(c) for c, t in df.dtypes))
 
 
 def _prices(spark: SparkSession, sf: str) -> DataFrame:
@@ -109,8 +109,8 @@ SQL: dict[str, str] = {
     "cum_returns_from_100": f"WITH {NAV_SQL} SELECT sid, CAST(dt AS VARCHAR) AS dt, round(nav * 100 + 3.7e-11, 7) AS cum FROM N2",
     "drawdown_series": f"WITH {NAV_SQL} SELECT sid, CAST(dt AS VARCHAR) AS dt, round(dd + 3.7e-11, 7) AS dd FROM N2",
     "drawdown_runs": f"""WITH {RUNS_SQL}, L AS (SELECT sid, count(*) AS rows FROM R GROUP BY sid)
-      SELECT r.sid, CAST(from_dt AS VARCHAR) AS from_dt, CAST(n.dt AS VARCHAR) AS trough_dt, CAST(to_dt AS VARCHAR) AS to_dt, round(depth + 3.7e-11, 7) AS depth, trough_rn - from_rn AS fall_rows,
-      CASE WHEN to_rn < rows THEN to_rn + 1 - trough_rn END AS recovery_rows FROM RUNS r JOIN L ON L.sid = r.sid JOIN N2 n ON n.sid = r.sid AND n.rn = r.trough_rn""",
+      SELECT r.sid, CAST(from_dt AS VARCHAR) AS from_dt, CAST(trough_dt AS VARCHAR) AS trough_dt, CAST(to_dt AS VARCHAR) AS to_dt, round(depth + 3.7e-11, 7) AS depth, trough_rn - from_rn AS fall_rows,
+      CASE WHEN to_rn < rows THEN to_rn + 1 - trough_rn END AS recovery_rows FROM RUNS r JOIN L ON L.sid = r.sid""",
     "max_drawdown_dates": f"""WITH {NAV_SQL}, V AS (SELECT sid, dt AS valley, dd1 AS depth FROM (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY dd1, dt) AS k FROM N2) x WHERE k = 1 AND dd1 < 0),
       E AS (SELECT V.sid, valley, depth, max(dt) FILTER (WHERE dd1 = 0 AND dt <= valley) AS peak, min(dt) FILTER (WHERE dd1 = 0 AND dt >= valley) AS recovery FROM N2 JOIN V USING (sid) GROUP BY 1, 2, 3)
       SELECT sid, CAST(peak AS VARCHAR) AS peak, CAST(valley AS VARCHAR) AS valley, CAST(recovery AS VARCHAR) AS recovery, round(depth + 3.7e-11, 7) AS depth, CAST(valley - peak AS INTEGER) AS days,
@@ -179,3 +179,15 @@ for _side in ("up", "down"):
         SQL[f"max_consecutive_{_side}_{_level}s"] = _run_sql(_side == "up", _level, "coalesce(length, 0) AS length, CAST(first AS VARCHAR) AS first, CAST(last AS VARCHAR) AS last")
 SQL["max_consecutive_gain"] = _run_sql(True, "day", "round(best + 3.7e-11, 7) AS best_total")
 SQL["max_consecutive_loss"] = _run_sql(False, "day", "round(best + 3.7e-11, 7) AS best_total")
+_ALL_RUNS = [(f"max_consecutive_{side}_{level}s", _run_sql(side == "up", level, f"CAST(coalesce(length, 0) AS BIGINT) AS max_consecutive_{side}_{level}s")) for level in ("day", "week", "month") for side in ("up", "down")]
+SQL["consecutive_stats"] = f"SELECT sid, {', '.join(n for n, _ in _ALL_RUNS)} FROM ({_ALL_RUNS[0][1]}) {_ALL_RUNS[0][0]}_ " + " ".join(f"JOIN ({q}) {n}_ USING (sid)" for n, q in _ALL_RUNS[1:])
+# R/S by length: the definition over explicit blocks
+SQL["hurst_exponent"] = f"""WITH {R_SQL}, V AS (SELECT sid, ret, row_number() OVER (PARTITION BY sid ORDER BY dt) - 1 AS k, count(*) OVER (PARTITION BY sid) AS n FROM R WHERE ret IS NOT NULL),
+      T AS (SELECT DISTINCT sid, n, greatest(n // 3, 3) AS top FROM V WHERE n >= 8),
+      G AS (SELECT DISTINCT sid, n, CASE WHEN top <= 31 THEN least(i + 2, top) WHEN i = 29 THEN top ELSE CAST(floor(2 * pow(top / 2.0, i / 29.0) + 1e-9) AS BIGINT) END AS len FROM T, (SELECT unnest(generate_series(0, 29)) AS i) s UNION SELECT sid, n, n FROM T),
+      P AS (SELECT V.sid, V.n, len, k // len AS b, k, ret - avg(ret) OVER (PARTITION BY V.sid, len, k // len) AS off, ret FROM V JOIN G ON G.sid = V.sid WHERE (k // len + 1) * len <= V.n),
+      W AS (SELECT *, sum(off) OVER (PARTITION BY sid, len, b ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS walk FROM P),
+      B AS (SELECT sid, n, len, b, max(walk) - min(walk) AS r, CASE WHEN max(ret) > min(ret) THEN stddev_samp(ret) ELSE 0 END AS s FROM W GROUP BY 1, 2, 3, 4),
+      RS AS (SELECT sid, n, len, avg(r / s) AS rs FROM B WHERE r > 0 AND s > 0 GROUP BY 1, 2, 3),
+      F AS (SELECT sid, n, count(*) FILTER (WHERE len < n) AS c, regr_slope(ln(rs), ln(len)) FILTER (WHERE len < n) AS h, max(rs) FILTER (WHERE len = n) AS whole FROM RS GROUP BY 1, 2)
+      SELECT A.sid, round(least(greatest(CASE WHEN c >= 2 THEN h ELSE 0.5 + ln(whole) / ln(2.0 * n) END, 0), 1) + 3.7e-11, 7) AS hurst_exponent FROM (SELECT DISTINCT sid FROM R) A LEFT JOIN F ON F.sid = A.sid AND whole IS NOT NULL"""

@@ -33,7 +33,7 @@ RUNS_SQL = (
     + """,
 U0 AS (SELECT *, dd1 < -1e-12 AS under, coalesce(lag(dd1 < -1e-12) OVER (PARTITION BY sid ORDER BY dt), FALSE) AS was FROM N2),
 U1 AS (SELECT *, sum(CASE WHEN under AND NOT was THEN 1 ELSE 0 END) OVER (PARTITION BY sid ORDER BY dt ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM U0),
-RUNS AS (SELECT sid, island, min(dd1) AS depth, min(rn) AS from_rn, max(rn) AS to_rn, min(dt) AS from_dt, max(dt) AS to_dt, max(rn) FILTER (WHERE tk = 1) AS trough_rn FROM (SELECT *, row_number() OVER (PARTITION BY sid, island, under ORDER BY round(dd1, 12), rn) AS tk FROM U1) u WHERE under GROUP BY 1, 2),
+RUNS AS (SELECT sid, island, min(dd1) AS depth, min(rn) AS from_rn, max(rn) AS to_rn, min(dt) AS from_dt, max(dt) AS to_dt, max(rn) FILTER (WHERE tk = 1) AS trough_rn, max(dt) FILTER (WHERE tk = 1) AS trough_dt FROM (SELECT *, row_number() OVER (PARTITION BY sid, island, under ORDER BY round(dd1, 12), rn) AS tk FROM U1) u WHERE under GROUP BY 1, 2),
 NV AS (SELECT N2.*, CUT.cut, DS.dd_mean, DS.dd_sumsq FROM N2 JOIN CUT USING (sid)
   LEFT JOIN (SELECT sid, avg(depth) AS dd_mean, sum(depth * depth) AS dd_sumsq FROM RUNS GROUP BY sid) DS USING (sid))"""
 )
