@@ -166,3 +166,31 @@ def test_helpers(spark):
     flow = spark.createDataFrame([(days[0], 0.1, 50.0, [(1, 2.0, 3.0)], [(1, 2.0, 3.0, datetime(2008, 9, 1, 10))])], "dt date, returns double, ending_cash double, positions array<struct<sid:int,amount:double,last_sale_price:double>>, transactions array<struct<sid:int,amount:double,price:double,dt:timestamp>>")
     r, pos, txn = common.from_backtest(flow)
     assert r.first()["ret"] == 0.1 and {row["value"] for row in pos.collect()} == {6.0, 50.0} and txn.first()["price"] == 3.0
+
+
+def test_symbol_files_and_providers(spark, tmp_path):
+    from tidemark.sources.providers import BatchFetchError, FileProvider, fetch_price_data, read_symbol_files
+
+    (tmp_path / "AB C.csv").write_text("Date,Open,High,Low,Close,Adj Close,Volume\n2024-01-02 00:00:00,1,2,0.5,1.5,1.4,100\n2024-01-03,,2,x,1.6,,\n")
+    got = read_symbol_files(spark, str(tmp_path)).orderBy("dt").collect()
+    assert [(r["symbol"], r["dt"], r["open"], r["low"], r["adj_close"]) for r in got] == [("AB C", date(2024, 1, 2), 1.0, 0.5, 1.4), ("AB C", date(2024, 1, 3), None, None, None)]
+    read_symbol_files(spark, str(tmp_path)).write.parquet(str(tmp_path / "bars"))
+    files = FileProvider(spark, str(tmp_path / "bars"))
+    with pytest.warns(UserWarning):
+        assert files.fetch_multiple(["AB C", "ZZ"], "2024-01-01", "2024-01-31").count() == 2
+    assert files.failed == {"ZZ": "no rows"} and files.get_info("AB C")["days"] == 2
+    with pytest.raises(BatchFetchError):
+        files.fetch("ZZ", "2024-01-01", "2024-01-31")
+    assert fetch_price_data("AB C", "file", start="2024-01-01", end="2024-01-31", spark=spark, path=str(tmp_path / "bars")).count() == 2
+
+
+def test_scope_removes_what_it_wrote(spark):
+    from tidemark import storage
+
+    with storage.scope():
+        kept = storage.materialize(spark.range(3), "t")
+        path = storage._written[-1][1].removeprefix("file://")
+        import os
+
+        assert kept.count() == 3 and os.path.isdir(path)
+    assert not os.path.isdir(path)

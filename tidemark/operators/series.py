@@ -35,11 +35,18 @@ def adjust(df: DataFrame, amount: float | str) -> DataFrame:
 
 def simple_returns(prices: DataFrame, sid: str = "sid", dt: str = "dt", price: str = "price") -> DataFrame:
     """Change against the previous price; each series' first row is dropped; a zero base gives infinity with the
-    change's sign, and null for no change."""
-    w = Window.partitionBy(sid).orderBy(dt)
-    p, q = F.col(price).cast("double"), F.lag(F.col(price).cast("double")).over(w)
-    change = F.when(q == 0, F.when(p > 0, M.INF()).when(p < 0, -M.INF())).otherwise(F.try_divide(p, q) - 1)
-    return prices.withColumn("ret", change).withColumn("__n", F.row_number().over(w)).where("__n > 1").select(F.col(sid).alias("sid"), F.col(dt).alias("dt"), "ret")
+    change's sign, and null for no change. Years are scanned apart, and joined through one price each."""
+    part = ["sid", "__year"]
+    w = Window.partitionBy(*part).orderBy("dt")
+    rows = prices.select(F.col(sid).alias("sid"), F.col(dt).alias("dt"), F.col(price).cast("double").alias("p")).withColumn("__year", F.year("dt"))
+    # struct: a null price before is not the same as no row before
+    inside = rows.withColumn("before", F.lag(F.struct("p")).over(w))
+    last = inside.groupBy(*part).agg(F.max_by(F.struct("p"), "dt").alias("last"))
+    entry = last.select(*part, F.lag("last").over(Window.partitionBy("sid").orderBy("__year")).alias("entry"))
+    joined = inside.join(entry, part).withColumn("before", F.coalesce("before", "entry")).where("before IS NOT NULL")
+    q = F.col("before.p")
+    change = F.when(q == 0, F.when(F.col("p") > 0, M.INF()).when(F.col("p") < 0, -M.INF())).otherwise(F.try_divide("p", q) - 1)
+    return joined.select("sid", "dt", change.alias("ret"))
 
 
 def cum_returns(df: DataFrame, starting_value: float = 0.0, keys: list[str] | None = None) -> DataFrame:

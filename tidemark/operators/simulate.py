@@ -233,6 +233,7 @@ class MonteCarlo:
 
 # ---- stress
 
+# The named scenarios; a crash sets the middle return to -20 %, a spike to +10 %, the others scale all returns.
 SCENARIOS = ("crash", "spike", "vol_crush", "vol_spike")
 
 
@@ -244,7 +245,7 @@ def stress_test(df: DataFrame, scenarios: list[str] | None = None, custom: dict[
     if scenarios is None and custom is None:
         scenarios = list(SCENARIOS)
     known = df.where("ret IS NOT NULL")
-    ranked = known.withColumn("k", F.row_number().over(Window.partitionBy("sid").orderBy("dt"))).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("sid")))
+    ranked = M.numbered(known).withColumnRenamed("rn", "k").join(known.groupBy("sid").agg(F.count(F.lit(1)).alias("n")), "sid")
     mid, r = F.col("k") == F.floor(F.col("n") / 2) + 1, F.col("ret")
     made = {"crash": F.when(mid, -0.2).otherwise(r), "spike": F.when(mid, 0.1).otherwise(r), "vol_crush": r * 0.5, "vol_spike": r * 2.0}
     shocks = {s: made[s] for s in scenarios or [] if s in made}

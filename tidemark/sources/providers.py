@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import csv
 import importlib
+import warnings
 from abc import ABC, abstractmethod
 from collections.abc import Iterator
-from datetime import date
+from datetime import UTC, date, datetime, timedelta
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,7 +28,18 @@ class BatchFetchError(RuntimeError):
 
 
 class DataProvider(ABC):
-    """Daily bars by symbol as a long frame of ``PRICES``."""
+    """Daily bars by symbol as a long frame of ``PRICES``. ``failed`` has the symbols of the last call for which nothing came,
+    with the reason; a call that is not strict warns of them."""
+
+    failed: dict[str, str]
+
+    def report(self, errors: dict[str, str], held: DataFrame, strict: bool) -> DataFrame:
+        self.failed = dict(errors)
+        if errors and strict:
+            raise BatchFetchError(type(self).__name__, errors, held)
+        if errors:
+            warnings.warn(f"{type(self).__name__}: nothing for {', '.join(sorted(errors))}", stacklevel=3)
+        return held
 
     @abstractmethod
     def fetch_multiple(self, symbols: list[str], start: str, end: str, strict: bool = False) -> DataFrame: ...
@@ -65,11 +77,13 @@ class FileProvider(DataProvider):
     def fetch_multiple(self, symbols: list[str], start: str, end: str, strict: bool = False) -> DataFrame:
         a, b = self.validate_dates(start, end)
         df = self._read().where(F.col("symbol").isin(symbols) & F.col("dt").between(F.lit(a), F.lit(b)))
-        if strict:
-            held = {r[0] for r in df.select("symbol").distinct().collect()}  # at most the symbols asked for
-            if lost := {s: "no rows" for s in symbols if s not in held}:
-                raise BatchFetchError(type(self).__name__, lost, df)
-        return df
+        held = {r[0] for r in df.select("symbol").distinct().collect()}  # at most the symbols asked for
+        return self.report({s: "no rows" for s in symbols if s not in held}, df, strict)
+
+    def get_info(self, symbol: str) -> dict[str, object]:
+        """What the files say about a symbol: first and last day, number of days."""
+        r = self._read().where(F.col("symbol") == symbol).agg(F.min("dt").alias("first"), F.max("dt").alias("last"), F.count("dt").alias("days")).first()
+        return {"symbol": symbol, "first": r["first"], "last": r["last"], "days": r["days"]}
 
 
 class _Gated(DataProvider):
@@ -92,13 +106,13 @@ class _Gated(DataProvider):
         found, errors = [], {}
         for s in symbols:
             try:
-                found += self.rows(s, start, end)
+                bars = self.rows(s, start, end)
+                found += bars
+                if not bars:
+                    errors[s] = "no rows"
             except Exception as e:  # a service's own errors
                 errors[s] = str(e)
-        df = self.spark.createDataFrame(found, PRICES)
-        if errors and (strict or not found):
-            raise BatchFetchError(type(self).__name__, errors, df)
-        return df
+        return self.report(errors, self.spark.createDataFrame(found, PRICES), strict or not found)
 
 
 class YahooFinanceProvider(_Gated):
@@ -109,6 +123,10 @@ class YahooFinanceProvider(_Gated):
         return [(symbol, i.date(), float(r["Open"]), float(r["High"]), float(r["Low"]), float(r["Close"]), float(r.get("Adj Close", r["Close"])), float(r["Volume"])) for i, r in h.iterrows()]
 
 
+    def get_info(self, symbol: str) -> dict[str, object]:
+        return {"symbol": symbol} | dict(self.client.Ticker(symbol).info)
+
+
 class AlphaVantageProvider(_Gated):
     module = "requests"
 
@@ -119,6 +137,11 @@ class AlphaVantageProvider(_Gated):
         return [(symbol, date.fromisoformat(d), *(number(b, k) for k in ("1.", "2.", "3.", "4.", "5.", "6."))) for d, b in bars.items() if start <= d <= end]
 
 
+    def get_info(self, symbol: str) -> dict[str, object]:
+        found = self.client.get("https://www.alphavantage.co/query", params={"function": "OVERVIEW", "symbol": symbol, "apikey": self.options.get("api_key")}, timeout=30).json()
+        return {"symbol": symbol} | {k.lower(): v for k, v in found.items() if k != "Symbol"}
+
+
 class TushareProvider(_Gated):
     module = "tushare"
 
@@ -128,6 +151,11 @@ class TushareProvider(_Gated):
         return [(symbol, day(r.trade_date), r.open, r.high, r.low, r.close, r.close, r.vol) for r in bars.itertuples()]
 
 
+    def get_info(self, symbol: str) -> dict[str, object]:
+        rows = self.client.pro_api(self.options.get("token")).stock_basic(ts_code=symbol).to_dict("records")
+        return {"symbol": symbol} | (rows[0] if rows else {})
+
+
 class AkShareProvider(_Gated):
     module = "akshare"
 
@@ -136,6 +164,11 @@ class AkShareProvider(_Gated):
         return [(symbol, date.fromisoformat(str(r["日期"])[:10]), r["开盘"], r["最高"], r["最低"], r["收盘"], r["收盘"], r["成交量"]) for r in bars.to_dict("records")]
 
 
+    def get_info(self, symbol: str) -> dict[str, object]:
+        items = self.client.stock_individual_info_em(symbol=symbol)
+        return {"symbol": symbol} | dict(zip(items["item"], items["value"], strict=True))
+
+
 PROVIDERS = {"file": FileProvider, "parquet": FileProvider, "yahoo": YahooFinanceProvider, "yfinance": YahooFinanceProvider, "alphavantage": AlphaVantageProvider, "av": AlphaVantageProvider, "tushare": TushareProvider, "akshare": AkShareProvider}
 
 
@@ -145,6 +178,31 @@ def get_provider(name: str, *args: object, **kwargs: object) -> DataProvider:
     return PROVIDERS[name.lower()](*args, **kwargs)
 
 
+def fetch_multiple_prices(symbols: list[str], provider: str = "yahoo", start: str | None = None, end: str | None = None, years: int = 5, strict: bool = False, **options: object) -> DataFrame:
+    """Bars of several symbols from a named provider; by default the ``years`` years up to today."""
+    last = date.fromisoformat(end) if end else datetime.now(UTC).date()
+    first = start or (last - timedelta(days=round(365.25 * years))).isoformat()
+    return get_provider(provider, **options).fetch_multiple(symbols, first, last.isoformat(), strict)
+
+
+def fetch_price_data(symbol: str, provider: str = "yahoo", **options: object) -> DataFrame:
+    """Bars of one symbol; that nothing came is an error."""
+    return fetch_multiple_prices([symbol], provider, strict=True, **options)
+
+
+def read_symbol_files(spark: SparkSession, folder: str) -> DataFrame:
+    """One CSV of bars per symbol, named after it, as ``PRICES``: read by Spark itself, from any store that it knows. Column
+    names may differ in case and blanks; the date column is ``dt`` or ``date``; absent columns are null."""
+    raw = spark.read.option("header", True).csv(f"{folder.rstrip('/')}/*.csv")
+    named = {c.strip().lower().replace(" ", "_"): c for c in raw.columns}
+    day = next((named[k] for k in ("dt", "date") if k in named), None)
+    if day is None:
+        raise ValueError("the files have no column dt or date")
+    number = lambda k: (F.col(f"`{named[k]}`").try_cast("double") if k in named else F.lit(None).cast("double")).alias(k)
+    symbol = F.regexp_extract(F.url_decode(F.input_file_name()), r"([^/]+)\.csv$", 1)
+    return raw.select(symbol.alias("symbol"), F.substring(F.col(f"`{day}`"), 1, 10).cast("date").alias("dt"), *(number(k) for k in ("open", "high", "low", "close", "adj_close", "volume")))
+
+
 class _Symbol(InputPartition):
     def __init__(self, path: str) -> None:
         self.path = path
@@ -167,7 +225,8 @@ class _FolderReader(DataSourceReader):
 
 
 class SymbolFolder(DataSource):
-    """``spark.read.format("symbol_folder").load(folder)``: one CSV of bars per symbol, one partition each."""
+    """``spark.read.format("symbol_folder").load(folder)``: one CSV of bars per symbol, one partition each. The folder must be
+    mounted on driver and executors alike; ``read_symbol_files`` reads from any store."""
 
     @classmethod
     def name(cls) -> str:

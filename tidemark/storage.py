@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,7 +32,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and read it back: lineage ends at the files, which outlive
-    executors, and each reader prunes its own columns. Removed when the driver ends."""
+    executors, and each reader prunes its own columns. Removed at the end of the ``scope`` around it, or of the driver."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tables/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
@@ -38,14 +40,24 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _sweep() -> None:
-    for spark, path in reversed(_written):
-        try:
-            jvm = spark._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
+@contextlib.contextmanager
+def scope() -> Iterator[None]:
+    """``with scope(): ...`` removes the tables written inside at its end. Results must have been written or collected by
+    then. A long session that runs many queries should put each into one."""
+    before = len(_written)
+    try:
+        yield
+    finally:
+        _remove(before)
+
+
+def _remove(first: int) -> None:
+    """Removes what was written since; what cannot be removed does not keep the rest."""
+    while len(_written) > first:
+        spark, path = _written.pop()
+        with contextlib.suppress(Exception):  # the session may have ended
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # the session has already ended
-            return
 
 
-atexit.register(_sweep)
+atexit.register(_remove, 0)
