@@ -35,7 +35,7 @@ def test_round_trips_against_lots(spark, seed, whole):
     for k in range(600):
         s = "hot" if rng.random() < 0.5 else rng.choice("abcd")
         at[s] += timedelta(hours=rng.choice([0, 0, 1, 6, 9, 30]))
-        size = rng.randrange(1, 40) if whole else rng.randrange(1, 4000) / 128
+        size = rng.randrange(1, 40) if whole else rng.randrange(1, 2000) / 64
         price = -1.0 if rng.random() < 0.02 else rng.randrange(10, 40) * 1.0
         rows.append((at[s], s, float(rng.choice([-1, 1]) * size), price, k))
     df = spark.createDataFrame([*rows, (datetime(2021, 1, 1), None, 1.0, 1.0, 9999)], "ts timestamp, symbol string, amount double, price double, seq long")

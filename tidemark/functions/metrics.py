@@ -558,7 +558,7 @@ def numbered(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
     keys = keys or ["sid"]
     part = [*keys, "__shard"]
     inside = df.withColumn("__shard", F.year("dt")).withColumn("rn", F.row_number().over(Window.partitionBy(*part).orderBy("dt")))
-    counts = inside.groupBy(*part).agg(F.max("rn").alias("__c"))
+    counts = df.groupBy(*keys, F.year("dt").alias("__shard")).agg(F.count(F.lit(1)).alias("__c"))
     before = Window.partitionBy(*keys).orderBy("__shard").rowsBetween(Window.unboundedPreceding, -1)
     carry = counts.select(*part, F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__n0"))
     return inside.join(carry, part).withColumn("rn", F.col("rn") + F.col("__n0")).drop("__shard", "__n0")

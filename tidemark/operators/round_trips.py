@@ -7,11 +7,9 @@ from collections import deque
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import materialize
 from .book import stocks
 
-QUANTITY = "decimal(28,9)"
-
-
 def _order(order: str | None) -> list[str]:
     return ["ts", *([order] if order else [])]
 
@@ -46,17 +44,16 @@ def fill_blocks(transactions: DataFrame, max_delta_seconds: int = 8 * 3600, orde
     return blocks.agg(F.min("ts").alias("dt"), total.alias("amount"), F.try_divide(F.sum(F.col("amount") * F.col("price")), total).alias("price"))
 
 
-def running_sums(df: DataFrame, keys: list[str], shard: Column, order: str, sums: dict[str, Column]) -> DataFrame:
+def running_sums(df: DataFrame, keys: list[str], shard: Column, order: list[str], sums: dict[str, Column]) -> DataFrame:
     """Adds the sums so far (the row included) of each series in ``order``. ``shard`` must not fall along the order: shards
     are summed apart, and the totals of earlier ones added."""
     part = [*keys, "__shard"]
-    w = Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    inside = df.withColumn("__shard", shard).select("*", *(v.alias(f"__v_{k}") for k, v in sums.items()))
-    inside = inside.select("*", *(F.sum(f"__v_{k}").over(w).alias(k) for k in sums))
+    w = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = Window.partitionBy(*keys).orderBy("__shard").rowsBetween(Window.unboundedPreceding, -1)
-    totals = inside.groupBy(*part).agg(*(F.sum(f"__v_{k}").alias(f"__t_{k}") for k in sums))
+    totals = df.groupBy(*keys, shard.alias("__shard")).agg(*(F.sum(v).alias(f"__t_{k}") for k, v in sums.items()))
     carry = totals.select(*part, *(F.coalesce(F.sum(f"__t_{k}").over(before), F.lit(0)).alias(f"__c_{k}") for k in sums))
-    return inside.join(carry, part).select(*df.columns, *((F.col(k) + F.col(f"__c_{k}")).cast(QUANTITY).alias(k) for k in sums))
+    inside = df.withColumn("__shard", shard).select("*", *(F.sum(v).over(w).alias(k) for k, v in sums.items()))
+    return inside.join(carry, part).select(*df.columns, *((F.col(k) + F.col(f"__c_{k}")).alias(k) for k in sums))
 
 
 def match_lots(symbol: object, dts: list, amounts: list, prices: list, lots: deque | None = None) -> tuple[list[tuple], deque]:
@@ -91,30 +88,33 @@ def match_lots(symbol: object, dts: list, amounts: list, prices: list, lots: deq
     return trips, lots
 
 
-def matches(blocks: DataFrame, per_bucket: int = 8) -> DataFrame:
+def matches(blocks: DataFrame, per_bucket: int = 8, places: int = 6) -> DataFrame:
     """symbol, closed (block), opened (block), close_dt, open_dt, side, used, price, cost: which quantity of which opening fill
     each closing fill takes, first in, first out.
 
     Open lots always have one side, so a fill closes what of it fits into the position against it and opens the rest. In
     order of time the opened and the closed quantities of a symbol are two runs of intervals on one line, and matching is
-    their overlap. Sums are exact decimals of nine places. Intervals are cut into buckets of about ``per_bucket`` fills
-    and joined by symbol and bucket, so a busy symbol is spread over many tasks."""
+    their overlap. Quantities are counted exactly, in whole numbers of 10^-``places`` shares; a symbol whose sums leave
+    the 64 bits raises an error. Intervals are cut into buckets of about ``per_bucket`` fills and joined by symbol and
+    bucket, so a busy symbol is spread over many tasks."""
+    unit = 10.0**places
     rows = blocks.where("price >= 0 AND NOT isnan(price) AND amount IS NOT NULL AND amount <> 0 AND NOT isnan(amount)")
-    rows = rows.withColumn("amount", F.col("amount").cast(QUANTITY)).where("amount <> 0")
-    month = F.trunc("dt", "month")
-    held = running_sums(rows, ["symbol"], month, "block", {"position": F.col("amount")})
+    rows = rows.withColumn("amount", F.round(F.col("amount").cast("double") * unit).cast("long")).where("amount <> 0")
+    month, order = F.trunc("dt", "month"), ["dt", "block"]
+    held = running_sums(rows, ["symbol"], month, order, {"position": F.col("amount")})
     before = F.col("position") - F.col("amount")
-    against = F.signum(before) * F.signum("amount") < 0
-    closing = F.when(against, F.least(F.abs("amount"), F.abs(before))).otherwise(F.lit(0)).cast(QUANTITY)
-    split = held.withColumn("closing", closing).withColumn("opening", (F.abs("amount") - F.col("closing")).cast(QUANTITY))
-    lines = running_sums(split, ["symbol"], month, "block", {"o": F.col("opening"), "c": F.col("closing")})
-    width = split.where("opening > 0").groupBy("symbol").agg((F.avg("opening").cast("double") * per_bucket).alias("width"))
-    base = lines.join(width, "symbol")
+    against = ((before > 0) & (F.col("amount") < 0)) | ((before < 0) & (F.col("amount") > 0))
+    closing = F.when(against, F.least(F.abs("amount"), F.abs(before))).otherwise(F.lit(0))
+    split = held.withColumn("closing", closing).withColumn("opening", F.abs("amount") - F.col("closing"))
+    lines = running_sums(split, ["symbol"], month, order, {"o": F.col("opening"), "c": F.col("closing")})
+    width = split.where("opening > 0").groupBy("symbol").agg(F.ceil(F.avg("opening") * per_bucket).alias("width"))
+    # read by both sides of the join
+    base = materialize(lines.join(width, "symbol").select("symbol", "block", "dt", "amount", "price", "opening", "closing", "o", "c", "width"), "lots")
     side = F.signum("amount").cast("int")
 
     def intervals(size: str, end: str, names: dict[str, Column]) -> DataFrame:
         lo = F.col(end) - F.col(size)
-        first, last = (F.floor(v.cast("double") / F.col("width")) for v in (lo, F.col(end)))
+        first, last = (F.call_function("div", v, F.col("width")) for v in (lo, F.col(end)))
         cut = base.where(F.col(size) > 0).select("symbol", "width", *(v.alias(n) for n, v in names.items()), lo.alias(f"{end}_lo"), F.col(end).alias(f"{end}_hi"), first.alias("__a"), last.alias("__b"))
         return cut.withColumn("bucket", F.explode(F.sequence("__a", "__b"))).drop("__a", "__b")
 
@@ -123,8 +123,8 @@ def matches(blocks: DataFrame, per_bucket: int = 8) -> DataFrame:
     j = closed.join(opened, ["symbol", "bucket"]).where("o_lo < c_hi AND c_lo < o_hi")
     lo, hi = F.greatest("o_lo", "c_lo"), F.least("o_hi", "c_hi")
     # a pair that meets in several buckets counts in the first
-    once = F.col("bucket") == F.floor(lo.cast("double") / F.col("width"))
-    return j.where(once).select("symbol", "closed", "opened", "close_dt", "open_dt", "side", (hi - lo).cast("double").alias("used"), "price", "cost")
+    once = F.col("bucket") == F.call_function("div", lo, F.col("width"))
+    return j.where(once).select("symbol", "closed", "opened", "close_dt", "open_dt", "side", ((hi - lo) / unit).alias("used"), "price", "cost")
 
 
 def round_trips(transactions: DataFrame, portfolio_value: DataFrame | None = None, order: str | None = None) -> DataFrame:
@@ -132,7 +132,8 @@ def round_trips(transactions: DataFrame, portfolio_value: DataFrame | None = Non
 
     Fills are merged into blocks first; blocks of negative, null or NaN price or without amount are left out.
     With ``portfolio_value`` (dt, value) ``returns`` is the profit over the closing day's value."""
-    m = matches(fill_blocks(transactions, order=order))
+    # scanned several times over for the running sums
+    m = matches(materialize(fill_blocks(transactions, order=order), "blocks"))
     pnl = F.sum(F.col("side") * (F.col("price") - F.col("cost")) * F.col("used"))
     out = m.groupBy("symbol", "closed").agg(F.min("open_dt").alias("open_dt"), F.min("close_dt").alias("close_dt"), (F.min("side") > 0).alias("long"), pnl.alias("pnl"), F.coalesce(F.try_divide(pnl, F.sum(F.col("cost") * F.col("used"))), F.lit(0.0)).alias("rt_returns")).drop("closed")
     out = out.withColumn("duration_s", ((F.unix_micros("close_dt") - F.unix_micros("open_dt")) / 1_000_000).cast("long"))
