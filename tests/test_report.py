@@ -22,3 +22,12 @@ def test_page_names_file_with_every_row(spark, tmp_path):
     assert "Growth (first 10 of 40 rows; all in r.growth.jsonl)" in page
     assert [json.loads(x)["dt"] for x in open(tmp_path / "r.growth.jsonl")] == [str(d) for d in DAYS]
     assert str(DAYS[9]) in page
+
+
+def test_cells_and_plain_values():
+    from datetime import date
+
+    from tidemark.operators import report
+
+    assert [report.sign_class(v) for v in (-1.0, 2, 0, None, float("nan"), True)] == [" class='neg'", " class='pos'", "", "", "", ""]
+    assert report.plain_values([0.123456789, float("inf"), date(2024, 1, 2), "a"], 3, percent=True) == [12.346, None, "2024-01-02", "a"]

@@ -56,6 +56,8 @@ class AnalysisContext:
         return json.dumps(self.to_dict(sid), **kwargs)
 
     def to_html(self, path: str, sid: object = 0, **kwargs: Any) -> str:
+        if path.endswith(".pdf"):
+            raise ValueError("a PDF comes from report.strategy_report")
         return report.strategy_report(self.returns, sid, path, positions=self.positions, transactions=self.transactions, **kwargs)
 
     def plot(self, sid: object = 0, backend: str = "table") -> Any:

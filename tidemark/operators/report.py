@@ -112,11 +112,29 @@ def fmt(value: object, pct: bool = False) -> str:
     return str(value)
 
 
+def sign_class(value: object) -> str:
+    """Style class of a cell: ``neg`` below zero, ``pos`` above, none otherwise."""
+    if not isinstance(value, int | float) or isinstance(value, bool) or not math.isfinite(value) or value == 0:
+        return ""
+    return " class='neg'" if value < 0 else " class='pos'"
+
+
+def plain_values(values: list, decimals: int = 6, percent: bool = False) -> list:
+    """Values as JSON has them: numbers rounded (times 100 as per cent), what is not finite null, dates as ISO text."""
+    out = []
+    for v in values:
+        if isinstance(v, float):
+            out.append(round(v * (100 if percent else 1), decimals) if math.isfinite(v) else None)
+        else:
+            out.append(v.isoformat() if hasattr(v, "isoformat") else v)
+    return out
+
+
 def html_table(rows: list[dict], caption: str) -> str:
     if not rows:
         return ""
     head = "".join(f"<th>{html.escape(str(c))}</th>" for c in rows[0])
-    body = "".join("<tr>" + "".join(f"<td>{html.escape(fmt(v))}</td>" for v in r.values()) + "</tr>" for r in rows)
+    body = "".join("<tr>" + "".join(f"<td{sign_class(v)}>{html.escape(fmt(v))}</td>" for v in r.values()) + "</tr>" for r in rows)
     return f"<section><h2>{html.escape(caption)}</h2><table><thead><tr>{head}</tr></thead><tbody>{body}</tbody></table></section>"
 
 
@@ -187,21 +205,29 @@ def first_rows(frame: DataFrame, most_rows: int, whole: Path) -> tuple[list[dict
 
 
 def strategy_report(df: DataFrame, sid: object, output: str, title: str = "Strategy report", most_rows: int = 5000, **parts: object) -> str:
-    """Writes a self-contained HTML page (or JSON for a .json path) for one series and returns the path. JSON has every
-    row. The page shows a table's first ``most_rows`` rows by date; of a longer one it gives the number of rows and the
+    """Writes a self-contained HTML page (or JSON or PDF, by the path's ending) for one series and returns the path. JSON has
+    every row; a PDF is the page printed by a headless browser. Tables by date are drawn as well. The page shows a table's first ``most_rows`` rows by date; of a longer one it gives the number of rows and the
     file beside the page that has them all."""
     found = sections(df, sid, **parts)
     if output.endswith(".json"):
         write_json(found, title, output)
         return output
-    if not output.endswith(".html"):
-        raise ValueError("output must end with .html or .json; a PDF needs a browser to print the page")
+    if not output.endswith((".html", ".pdf")):
+        raise ValueError("output must end with .html, .json or .pdf")
+    from ..viz import Chart, print_pdf, svg  # charts draw on this module's tables
+
     shown, body = {}, ""
     for name, frame in found.items():
+        if "dt" in frame.columns and (numbers := [c for c, t in frame.dtypes if t == "double"]):
+            body += svg(Chart(name, frame, y=tuple(numbers)))
         whole = Path(output).with_suffix(f".{name.lower().replace(' ', '_')}.jsonl")
         shown[name], n = first_rows(frame, most_rows, whole)
         body += html_table(shown[name], name + (f" (first {most_rows} of {n} rows; all in {whole.name})" if n > most_rows else ""))
     stats = {r["stat"]: r["value"] for r in shown["Performance"]}
     summary = f"Risk-adjusted performance is {performance_label(stats.get('sharpe_ratio'))}; risk control is {risk_label(stats.get('max_drawdown'))}."
-    Path(output).write_text(f"<!doctype html><html><head><meta charset='utf-8'><title>{html.escape(title)}</title><style>body{{font:14px sans-serif}}td,th{{padding:2px 8px;text-align:right}}</style></head><body><h1>{html.escape(title)}</h1><p>{html.escape(summary)}</p>{body}</body></html>")
+    page = (f"<!doctype html><html><head><meta charset='utf-8'><title>{html.escape(title)}</title><style>body{{font:14px sans-serif}}td,th{{padding:2px 8px;text-align:right}}.neg{{color:#b00}}</style></head><body><h1>{html.escape(title)}</h1><p>{html.escape(summary)}</p>{body}</body></html>")
+    if output.endswith(".pdf"):
+        print_pdf(page, output)
+    else:
+        Path(output).write_text(page)
     return output

@@ -176,6 +176,9 @@ class SimResult:
     def __init__(self, paths: DataFrame) -> None:
         self.paths = paths
 
+    def __repr__(self) -> str:
+        return f"SimResult({', '.join(self.paths.columns)})"
+
     @property
     def terminal(self) -> DataFrame:
         return self.paths.groupBy("path").agg(F.max_by("value", "step").alias("value"))
